@@ -5,10 +5,13 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op1_url_filter": "url_filter",
+    "op2_pii": "pii",
     "op7_decontaminate": "decontaminate",
+    "op8_mixing": "mixing",
     "op9_fertility": "fertility",
     "op10_token_counts": "token_counts",
 }
 
 QUERIES = {name: importlib.import_module(f"docquarry.llm.{module}").query for name, module in _MODULES.items()}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_mixing": importlib.import_module("docquarry.llm.mixing").ORACLE}
