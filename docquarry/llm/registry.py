@@ -7,6 +7,7 @@ import importlib
 _MODULES = {
     "op1_url_filter": "url_filter",
     "op2_pii": "pii",
+    "op4_jaccard_join": "jaccard_join",
     "op7_decontaminate": "decontaminate",
     "op8_mixing": "mixing",
     "op9_fertility": "fertility",
@@ -14,4 +15,4 @@ _MODULES = {
 }
 
 QUERIES = {name: importlib.import_module(f"docquarry.llm.{module}").query for name, module in _MODULES.items()}
-ORACLES: dict[str, str] = {"op8_mixing": importlib.import_module("docquarry.llm.mixing").ORACLE}
+ORACLES: dict[str, str] = {name: oracle for name, module in _MODULES.items() if (oracle := getattr(importlib.import_module(f"docquarry.llm.{module}"), "ORACLE", None))}
