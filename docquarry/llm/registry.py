@@ -8,6 +8,7 @@ _MODULES = {
     "op1_url_filter": "url_filter",
     "op2_pii": "pii",
     "op4_jaccard_join": "jaccard_join",
+    "op5_substring_index": "substring_index",
     "op7_decontaminate": "decontaminate",
     "op8_mixing": "mixing",
     "op9_fertility": "fertility",
