@@ -9,6 +9,7 @@ _MODULES = {
     "op2_pii": "pii",
     "op4_jaccard_join": "jaccard_join",
     "op5_substring_index": "substring_index",
+    "op6_suffix_dedup": "suffix_dedup",
     "op7_decontaminate": "decontaminate",
     "op8_mixing": "mixing",
     "op9_fertility": "fertility",
