@@ -7,6 +7,7 @@ import importlib
 _MODULES = {
     "op1_url_filter": "url_filter",
     "op2_pii": "pii",
+    "op3_lm_score": "lm_score",
     "op4_jaccard_join": "jaccard_join",
     "op5_substring_index": "substring_index",
     "op6_suffix_dedup": "suffix_dedup",
