@@ -1,6 +1,540 @@
-"""Named queries and their DuckDB counterparts."""
+"""Named queries over the driver tables, and their DuckDB counterparts."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from docquarry.functions import chess, persons, similarity
+from docquarry.functions import text as tx
+from docquarry.operators import decisions, dml, doctypes, entities, fen, lines, relational, windows
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Register a function of (table reader) under its name."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+_LINES = """lines AS (SELECT doc_id * 1000000000 + 1000000 + i AS line_id, doc_id AS file_id, i AS line_no, t AS text, length(t) AS length FROM (
+SELECT doc_id, i, trim(regexp_replace(l, '\\s+', ' ', 'g')) AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))
+WHERE length(t) BETWEEN 20 AND 300)"""
+_NORM = f"""{_LINES}, norm AS (SELECT *, replace(replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss'), 'i̇', 'i') AS norm FROM lines)"""
+_KEYED = f"""{_NORM}, keyed AS (SELECT *, length(norm) AS len, length(norm) // 10 AS bucket, left(norm, 2) AS prefix FROM norm)"""
+_PAIRS = f"""{_NORM}, reps AS (SELECT norm, min(line_id) AS rep, length(norm) AS len, length(norm) // 10 AS bucket, left(norm, 2) AS prefix FROM norm GROUP BY norm),
+pairs AS (SELECT a.rep AS rep_a, b.rep AS rep_b, a.norm AS a, b.norm AS b FROM reps a JOIN reps b ON a.bucket = b.bucket AND a.prefix = b.prefix AND a.rep < b.rep AND abs(a.len - b.len) <= 10)"""
+_TFIDF = f"""{_PAIRS}, times AS (SELECT norm, min(line_id) AS rep, count(*) AS times FROM norm GROUP BY norm),
+words AS (SELECT rep, times, regexp_extract_all(norm, '[\\p{{L}}\\p{{N}}_]+') AS w FROM times),
+terms AS (SELECT rep, times, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM words),
+tf AS (SELECT rep, times, term, count(*) AS tf FROM terms GROUP BY ALL), df AS (SELECT term, sum(times) AS df FROM tf GROUP BY term),
+raw AS (SELECT rep, tf.term, tf * (ln((1 + (SELECT count(*) FROM norm)) / (1 + df)) + 1) AS w FROM tf JOIN df ON tf.term = df.term),
+len2 AS (SELECT rep, sqrt(sum(w * w)) AS l FROM raw GROUP BY rep), weights AS (SELECT raw.rep, term, w / l AS weight FROM raw JOIN len2 ON raw.rep = len2.rep)"""
+
+
+def _line_rows(t) -> DataFrame:
+    return lines.text_lines(t("documents"))
+
+
+def _norm_rows(t) -> DataFrame:
+    return lines.normalized(_line_rows(t))
+
+
+# ---- lines, normalisation, blocking
+
+
+@query(f"WITH {_LINES} SELECT line_id::BIGINT AS line_id, file_id, line_no::INT AS line_no, text, length::INT AS length FROM lines")
+def text_lines_extract(t):
+    return _line_rows(t).drop("page_no")
+
+
+@query(f"WITH {_LINES} SELECT file_id, count(*)::BIGINT AS n, sum(length)::BIGINT AS chars FROM lines WHERE length BETWEEN 40 AND 200 GROUP BY file_id")
+def text_lines_filter(t):
+    return _line_rows(t).where(F.col("length").between(40, 200)).groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.sum("length").cast("long").alias("chars"))
+
+
+@query(f"WITH {_NORM} SELECT line_id::BIGINT AS line_id, norm FROM norm")
+def normalize_text(t):
+    return lines.normalized(_line_rows(t), exact=True).select("line_id", "norm")
+
+
+@query("SELECT doc_id, trim(regexp_replace(replace(replace(lower(trim(regexp_replace(left(text, 60), '\\s+', ' ', 'g'))), 'ß', 'ss'), 'i̇', 'i'), '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')) AS name FROM documents")
+def normalize_name(t):
+    return t("documents").select("doc_id", tx.normalize_name(F.left("text", F.lit(60))).alias("name"))
+
+
+@query(f"WITH {_KEYED} SELECT a.line_id::BIGINT AS line_id_a, b.line_id::BIGINT AS line_id_b FROM keyed a JOIN keyed b ON a.bucket = b.bucket AND a.prefix = b.prefix AND a.line_id < b.line_id AND abs(a.len - b.len) <= 10")
+def blocked_pairs(t):
+    return lines.blocked_pairs(_norm_rows(t))
+
+
+@query(f"WITH {_KEYED} SELECT bucket::BIGINT AS bucket, prefix, count(*)::BIGINT AS n FROM keyed GROUP BY ALL")
+def block_sizes(t):
+    return lines.blocking_key(_norm_rows(t)).groupBy("bucket", "prefix").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- pairwise scores
+
+
+@query(f"WITH {_PAIRS}, s AS (SELECT rep_a, rep_b, list_distinct(list_filter(string_split(a, ' '), lambda x: x <> '')) AS x, list_distinct(list_filter(string_split(b, ' '), lambda x: x <> '')) AS y FROM pairs) SELECT rep_a::BIGINT AS rep_a, rep_b::BIGINT AS rep_b, round(len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))), 6) AS jaccard FROM s")
+def token_jaccard_pairs(t):
+    return lines.distinct_pairs(_norm_rows(t)).select("rep_a", "rep_b", F.round(similarity.token_jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
+
+
+@query(f"WITH {_PAIRS} SELECT rep_a::BIGINT AS rep_a, rep_b::BIGINT AS rep_b, round(2 * list_sum(list_transform(list_distinct(string_split(a, '')), lambda c: least(length(a) - length(replace(a, c, '')), length(b) - length(replace(b, c, '')))))::DOUBLE / (length(a) + length(b)), 6) AS dice FROM pairs")
+def char_dice_pairs(t):
+    return lines.distinct_pairs(_norm_rows(t)).select("rep_a", "rep_b", F.round(similarity.char_dice(F.col("a"), F.col("b")), 6).alias("dice"))
+
+
+@query(f"WITH {_PAIRS} SELECT rep_a::BIGINT AS rep_a, rep_b::BIGINT AS rep_b, round(jaro_winkler_similarity(a, b), 6) AS jaro FROM pairs WHERE regexp_full_match(a || b, '[\\x00-\\x7F]*')")
+def jaro_winkler_pairs(t):
+    # DuckDB compares bytes: the comparison is on the pairs of plain ASCII
+    pairs = lines.distinct_pairs(_norm_rows(t)).where(F.concat("a", "b").rlike(r"^[\x00-\x7F]*$"))
+    return pairs.select("rep_a", "rep_b", F.round(similarity.jaro_winkler("a", "b"), 6).alias("jaro"))
+
+
+@query()
+def indel_ratio_pairs(t):
+    return lines.distinct_pairs(_norm_rows(t)).select("rep_a", "rep_b", F.round(similarity.indel_ratio("a", "b"), 6).alias("lev_ratio"))
+
+
+@query(f"WITH {_TFIDF} SELECT rep::BIGINT AS rep, term, round(weight, 6) AS weight FROM weights")
+def tfidf_terms(t):
+    return lines.tfidf(_norm_rows(t)).select("rep", "term", F.round("weight", 6).alias("weight"))
+
+
+@query(f"WITH {_TFIDF}, c AS (SELECT rep_a, rep_b, sum(x.weight * y.weight) AS c FROM pairs JOIN weights x ON x.rep = rep_a JOIN weights y ON y.rep = rep_b AND y.term = x.term GROUP BY ALL) SELECT p.rep_a::BIGINT AS rep_a, p.rep_b::BIGINT AS rep_b, round(coalesce(c, 0), 6) AS tfidf_cosine FROM pairs p LEFT JOIN c ON c.rep_a = p.rep_a AND c.rep_b = p.rep_b")
+def tfidf_cosine_pairs(t):
+    rows = _norm_rows(t)
+    return lines.cosine(lines.distinct_pairs(rows), lines.tfidf(rows)).select("rep_a", "rep_b", F.round("tfidf_cosine", 6).alias("tfidf_cosine"))
+
+
+@query()
+def text_similarity_avg(t):
+    scores = ["lev_ratio", "jaro", "dice", "tfidf_cosine", "jaccard_tokens", "avg_score"]
+    return lines.similarity_job(_line_rows(t)).select("line_id_a", "line_id_b", *(F.round(c, 6).alias(c) for c in scores), "passed_threshold")
+
+
+# ---- positional windows and image-like pairs
+
+_VECTORS = """v AS (SELECT vec_id, label, embedding, list_median(embedding::DOUBLE[]) AS m FROM embeddings),
+h AS (SELECT vec_id, label, embedding, list_transform(embedding::DOUBLE[], lambda x: (x > m)::INT) AS bits FROM v),
+w AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM h),
+pairs AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, (b.rn - a.rn)::BIGINT AS distance, 1 - list_sum(list_transform(range(1, 65), lambda i: abs(a.bits[i] - b.bits[i])))::DOUBLE / 64 AS phash,
+abs(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS cosine FROM w a JOIN w b ON a.label = b.label AND b.rn BETWEEN a.rn + 1 AND a.rn + 5)"""
+
+
+def _vector_pairs(t) -> DataFrame:
+    rows = t("embeddings").withColumn("h", similarity.hash_bits(F.col("embedding"))).withColumn("e", F.col("embedding").cast("array<double>"))
+    pairs = windows.window_pairs(rows, ["label"], [], "vec_id", carry=["h", "e"])
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    a, b = F.col("a_e"), F.col("b_e")
+    cosine = F.abs(dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))))
+    return pairs.select("id_a", "id_b", "distance", similarity.hash_similarity(F.col("a_h"), F.col("b_h")).alias("phash"), cosine.alias("cosine"))
+
+
+@query("WITH w AS (SELECT conv_id, turn, conv_id * 1000 + turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) SELECT a.id AS id_a, b.id AS id_b, (b.rn - a.rn)::BIGINT AS distance FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.rn BETWEEN a.rn + 1 AND a.rn + 5")
+def window_pairs_k5(t):
+    rows = t("conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    return windows.window_pairs(rows, ["conv_id"], ["turn"], "id")
+
+
+@query(f"WITH {_VECTORS} SELECT id_a, id_b, distance, phash FROM pairs")
+def phash_hamming_pairs(t):
+    return _vector_pairs(t).drop("cosine")
+
+
+_D1 = """CASE WHEN same THEN 'EXACT_DUPLICATE|1|sha256' WHEN p < 0.85 THEN 'NOT_SIMILAR|2|phash_low' WHEN s >= 0.92 THEN 'NEAR_DUPLICATE|3|phash+ssim' WHEN s < 0.5 THEN 'NOT_SIMILAR|3|ssim_too_low_for_override'
+WHEN s < 0.85 AND p >= 0.9 THEN 'SIMILAR_THEME|4|phash_override' || CASE WHEN o >= 0.15 AND k >= 0.15 THEN '+orb+akaze' WHEN o >= 0.15 THEN '+orb' WHEN k >= 0.15 THEN '+akaze' ELSE '_low_ssim' END
+WHEN s < 0.85 THEN 'NOT_SIMILAR|3|phash+ssim_low' WHEN o >= 0.15 AND k >= 0.15 THEN 'NEAR_DUPLICATE|4|ssim+orb+akaze' WHEN o >= 0.15 THEN 'NEAR_DUPLICATE|4|ssim+orb' WHEN k >= 0.15 THEN 'NEAR_DUPLICATE|4|ssim+akaze'
+WHEN s >= 0.9 THEN 'SIMILAR|4|ssim_high_feature_low' ELSE 'NOT_SIMILAR|4|ssim_feature_low' END"""
+
+
+@query(f"""WITH i AS (SELECT l_orderkey, l_linenumber, l_extendedprice = round(l_extendedprice) AS same, 0.80 + (l_partkey % 20) / 100.0::DOUBLE AS p, 0.40 + (l_suppkey % 60) / 100.0::DOUBLE AS s, (l_partkey % 7) / 30.0::DOUBLE AS o, (l_suppkey % 5) / 20.0::DOUBLE AS k FROM lineitem),
+d AS (SELECT *, string_split({_D1}, '|') AS d FROM i) SELECT l_orderkey, l_linenumber, d[1] AS label, d[2]::INT AS decision_phase, d[3] AS reason,
+CASE WHEN d[2]::INT >= 2 THEN p END AS phash, CASE WHEN d[2]::INT >= 3 THEN s END AS ssim, CASE WHEN d[2]::INT = 4 THEN o END AS orb, CASE WHEN d[2]::INT = 4 THEN k END AS akaze FROM d""")
+def pair_decision(t):
+    share = lambda c, m, d, start: F.lit(start) + (F.col(c) % m) / F.lit(float(d))
+    rows = t("lineitem").withColumn("d", decisions.decide_pair(F.col("l_extendedprice") == F.round("l_extendedprice"), share("l_partkey", 20, 100, 0.80), share("l_suppkey", 60, 100, 0.40), (F.col("l_partkey") % 7) / F.lit(30.0), (F.col("l_suppkey") % 5) / F.lit(20.0)))
+    return rows.select("l_orderkey", "l_linenumber", "d.*")
+
+
+@query(f"WITH {_VECTORS}, i AS (SELECT id_a, id_b, id_a = id_b AS same, phash AS p, round(cosine, 6) AS s, 0.0 AS o, 0.2 AS k FROM pairs), d AS (SELECT *, string_split({_D1}, '|') AS d FROM i) SELECT d[1] AS label, d[2]::INT AS decision_phase, d[3] AS reason, count(*)::BIGINT AS n FROM d GROUP BY ALL")
+def image_similarity_job(t):
+    decided = decisions.decide_pair(F.col("id_a") == F.col("id_b"), F.col("phash"), F.round("cosine", 6), F.lit(0.0), F.lit(0.2))
+    return _vector_pairs(t).select(decided.alias("d")).select("d.label", "d.decision_phase", "d.reason").groupBy("label", "decision_phase", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 4) AS norm FROM embeddings")
+def vector_norms(t):
+    return t("embeddings").select("vec_id", F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), 4).alias("norm"))
+
+
+@query()
+def grid_ssim_pairs(t):
+    rows = t("embeddings").withColumn("g", F.transform("embedding", lambda x: (x + 1) * 127.5))
+    pairs = windows.window_pairs(rows, ["label"], [], "vec_id", k=1, carry=["g"])
+    return pairs.select("id_a", "id_b", F.round(similarity.grid_ssim("a_g", "b_g"), 6).alias("ssim"))
+
+
+# ---- labels
+
+_FLAGS = "SELECT d.doc_id, coalesce(l.toxic, 0) AS person, (d.doc_id % 97) / 97.0::DOUBLE AS ps, coalesce(l.quality, 0) AS logo, (d.doc_id % 89) / 89.0::DOUBLE AS ls, (d.doc_id % 5 = 0)::INT AS game, (d.doc_id % 83) / 83.0::DOUBLE AS gs, (d.doc_id % 31) / 31.0::DOUBLE AS pa, (d.doc_id % 29) / 29.0::DOUBLE AS la, d.n_chars % 160 AS n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"
+
+
+def _flags(t) -> DataFrame:
+    part = lambda m: (F.col("doc_id") % m) / F.lit(float(m))
+    rows = t("documents").join(t("labels"), "doc_id", "left")
+    return rows.select("doc_id", F.coalesce("toxic", F.lit(0)).alias("person"), part(97).alias("ps"), F.coalesce("quality", F.lit(0)).alias("logo"), part(89).alias("ls"), (F.col("doc_id") % 5 == 0).cast("int").alias("game"), part(83).alias("gs"), part(31).alias("pa"), part(29).alias("la"), (F.col("n_chars") % 160).alias("n"))
+
+
+@query(f"""WITH f AS ({_FLAGS}), g AS (SELECT *, person = 1 AND ps >= 0.55 AND pa >= 0.18 AND n < 80 AS pd, CASE WHEN logo <> 1 THEN false WHEN ls >= 0.75 AND la >= 0.25 THEN true WHEN ls < 0.68 OR la < 0.015 OR la > 0.5 THEN false WHEN n >= 80 AND la < 0.15 THEN false WHEN person = 1 AND pa >= 0.15 THEN false ELSE true END AS ld FROM f)
+SELECT doc_id, CASE WHEN game = 1 AND gs >= 0.45 THEN 'game_notation' WHEN pd AND ps >= ls THEN 'person' WHEN ld AND ls > ps THEN 'logo' ELSE 'unknown' END AS label, CASE WHEN game = 1 AND gs >= 0.45 THEN gs WHEN pd AND ps >= ls THEN ps WHEN ld AND ls > ps THEN ls ELSE 0 END AS confidence FROM g""")
+def choose_label(t):
+    c = F.col
+    chosen = decisions.choose_label(c("person"), c("ps"), c("logo"), c("ls"), c("game"), c("gs"), c("pa"), c("la"), c("n"))
+    return _flags(t).select("doc_id", chosen.alias("x")).select("doc_id", "x.*")
+
+
+@query("SELECT doc_id, CASE WHEN quality IS NULL THEN 'pending' WHEN quality = 1 THEN 'yes' ELSE 'no' END AS state, coalesce(quality, 0) = 0 AS loose, (quality = 0) AS strict, (quality = 0 OR quality IS NULL) AS either FROM documents LEFT JOIN labels USING (doc_id)")
+def tri_state_flags(t):
+    q = F.col("quality")
+    rows = t("documents").join(t("labels"), "doc_id", "left")
+    return rows.select("doc_id", F.when(q.isNull(), "pending").when(q == 1, "yes").otherwise("no").alias("state"), (F.coalesce(q, F.lit(0)) == 0).alias("loose"), (q == 0).alias("strict"), ((q == 0) | q.isNull()).alias("either"))
+
+
+@query("SELECT doc_id, n_chars, CASE WHEN n_chars % 300 < 20 OR n_chars % 70 < 10 THEN 'skip' WHEN n_chars % 300 > 4 * (n_chars % 70) THEN 'line' ELSE 'page' END AS mode FROM documents")
+def ocr_mode(t):
+    return t("documents").select("doc_id", "n_chars", decisions.ocr_mode(F.col("n_chars") % 300, F.col("n_chars") % 70).alias("mode"))
+
+
+@query("SELECT l_orderkey, l_linenumber, (abs(l_partkey % 256 - l_suppkey % 256) <= 3 AND abs(l_suppkey % 256 - l_linenumber) <= 3 AND abs(l_partkey % 256 - l_linenumber) <= 3) AS gray FROM lineitem")
+def grayscale_pixels(t):
+    pixel = F.array(F.col("l_partkey") % 256, F.col("l_suppkey") % 256, F.col("l_linenumber").cast("long"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", decisions.is_grayscale(F.array(pixel)).alias("gray"))
+
+
+# ---- text rules
+
+
+@query("SELECT doc_id, round(length(regexp_replace(t, '[^\\p{L}\\p{N}]', '', 'g')) / greatest(length(t), 1), 6) AS density FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)")
+def text_density(t):
+    return t("documents").select("doc_id", F.round(tx.text_density(F.col("text")), 6).alias("density"))
+
+
+@query("SELECT conv_id, turn, length(trim(text)) < 3 OR length(regexp_replace(trim(text), '[a-zA-Z0-9çğıöşüÇĞİÖŞÜ.,:;\\-()\\s\"''&]', '', 'g')) / length(trim(text)) > 0.4 AS garbage FROM conversations UNION ALL SELECT doc_id, -1, length(trim(text)) < 3 OR length(regexp_replace(trim(text), '[a-zA-Z0-9çğıöşüÇĞİÖŞÜ.,:;\\-()\\s\"''&]', '', 'g')) / length(trim(text)) > 0.4 FROM documents")
+def is_garbage(t):
+    a = t("conversations").select("conv_id", "turn", tx.is_garbage(F.col("text")).alias("garbage"))
+    return a.unionByName(t("documents").select(F.col("doc_id").alias("conv_id"), F.lit(-1).cast("long").alias("turn"), tx.is_garbage(F.col("text")).alias("garbage")))
+
+
+_TOKEN = r"(O-O-O|O-O|[KQRBN]?[a-h]?[1-8]?x?[a-h][1-8](?:=[QRBN])?[+#]?|\d+\.(?:\.\.)?)"
+_GAME = "replace(replace(replace(replace('1. e4 e5 2. Nf3 ' || url || ' ' || left(html, 400), '0-0-0', 'O-O-O'), '0-0', 'O-O'), 'o-o-o', 'O-O-O'), 'o-o', 'O-O')"
+
+
+@query(f"SELECT page_id, array_to_string(regexp_extract_all(trim(regexp_replace({_GAME}, '\\s+', ' ', 'g')), '{_TOKEN}', 1), ' ') AS tokens FROM pages")
+def chess_tokens(t):
+    raw = F.concat(F.lit("1. e4 e5 2. Nf3 "), "url", F.lit(" "), F.left("html", F.lit(400)))
+    return t("pages").select("page_id", F.array_join(chess.tokens(chess.normalize_chess(raw)), " ").alias("tokens"))
+
+
+@query(f"""WITH k AS (SELECT page_id, regexp_extract_all(trim(regexp_replace({_GAME}, '\\s+', ' ', 'g')), '{_TOKEN}', 1) AS k FROM pages),
+c AS (SELECT page_id, len(list_filter(k, lambda x: regexp_full_match(x, '\\d+\\.(?:\\.\\.)?')))::INT AS numbers, len(list_filter(k, lambda x: NOT regexp_full_match(x, '\\d+\\.(?:\\.\\.)?')))::INT AS moves,
+len(list_filter(k, lambda x: regexp_full_match(x, '[a-h]2?[34][+#]?') OR regexp_full_match(x, 'a2?a[34][+#]?|b2?b[34][+#]?|c2?c[34][+#]?|d2?d[34][+#]?|e2?e[34][+#]?|f2?f[34][+#]?|g2?g[34][+#]?|h2?h[34][+#]?') OR regexp_full_match(x, 'N(?:b?1?[ac]3|g?1?[fh]3)[+#]?')))::INT AS valid FROM k),
+s AS (SELECT *, round(numbers + 1.2 * moves + 1.5 * valid, 6)::DOUBLE AS signal FROM c)
+SELECT page_id, numbers, moves, valid, signal, ((numbers >= 3 AND moves >= 8) OR signal >= 18)::INT AS flag, CASE WHEN (numbers >= 3 AND moves >= 8) OR signal >= 18 THEN round(least(1.0, signal / 30.0), 4) ELSE 0 END::DOUBLE AS score FROM s""")
+def game_notation_score(t):
+    raw = F.concat(F.lit("1. e4 e5 2. Nf3 "), "url", F.lit(" "), F.left("html", F.lit(400)))
+    return t("pages").select("page_id", chess.notation_signal(raw).alias("x")).select("page_id", "x.*")
+
+
+@query()
+def notation_lines(t):
+    raw = F.concat(F.lit("1.e4 "), F.left("text", F.lit(120)))
+    return t("documents").select("doc_id", chess.notation_line(raw).alias("line")).where("line is not null")
+
+
+@query("SELECT doc_id, replace(source || ' x', ' ', '_') AS label, left(text, 55) || CASE WHEN length(text) > 55 THEN '...' ELSE '' END AS preview, regexp_replace(source || '.a.png', '\\.[^.]*$', '') AS stem FROM documents")
+def string_rules(t):
+    return t("documents").select("doc_id", tx.sanitize_label(F.concat("source", F.lit(" x"))).alias("label"), tx.preview(F.col("text")).alias("preview"), tx.stem(F.concat("source", F.lit(".a.png"))).alias("stem"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey * 1000 + l_linenumber AS packed, (l_partkey * 1000 + l_linenumber) // 1000 AS image, (l_partkey * 1000 + l_linenumber) % 1000 AS rect, 'f' || l_suppkey || '_p' || l_linenumber || '_' || ((l_partkey * 1000 + l_linenumber) // 1000) || '_' || ((l_partkey * 1000 + l_linenumber) % 1000) || '.png' AS name FROM lineitem")
+def pack_index(t):
+    packed = tx.pack_index(F.col("l_partkey"), F.col("l_linenumber").cast("long"))
+    image, rect = tx.unpack_index(packed)
+    name = tx.thumbnail_name(F.concat(F.lit("f"), F.col("l_suppkey").cast("string"), F.lit(".pdf")), F.col("l_linenumber"), packed)
+    return t("lineitem").select("l_orderkey", "l_linenumber", packed.alias("packed"), image.alias("image"), rect.alias("rect"), name.alias("name"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, CASE WHEN strlen(text) > 100 THEN base64(encode(text)) END AS image FROM documents")
+def hash_and_base64(t):
+    return t("documents").select("doc_id", F.sha2("text", 256).alias("sha256"), tx.base64_image(F.encode("text", "UTF-8")).alias("image"))
+
+
+@query("SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON sha256(a.text) = sha256(b.text) AND a.text <> '' AND a.doc_id < b.doc_id")
+def exact_hash_pairs(t):
+    hashed = t("documents").where("text <> ''").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("h"))
+    return hashed.select(F.col("id").alias("a"), "h").join(hashed.select(F.col("id").alias("b"), "h"), "h").where("a < b").select("a", "b")
+
+
+@query("SELECT s_suppkey, printf('%06d', s_suppkey) AS code, printf('%.2f', s_acctbal) AS two, coalesce(nullif(CASE WHEN s_suppkey % 3 = 0 THEN '' WHEN s_suppkey % 3 = 1 THEN s_name END, ''), 'none') AS name FROM supplier")
+def format_projection(t):
+    name = F.when(F.col("s_suppkey") % 3 == 0, "").when(F.col("s_suppkey") % 3 == 1, F.col("s_name"))
+    return t("supplier").select("s_suppkey", F.format_string("%06d", "s_suppkey").alias("code"), tx.fixed(F.col("s_acctbal"), 2).alias("two"), tx.or_default(name, "none").alias("name"))
+
+
+# ---- boards
+
+_CHARS = "['b','k','n','p','q','r','','B','K','N','P','Q','R']"
+
+
+@query(f"""WITH c AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: ({_CHARS})[(abs(floor(x * 1000))::BIGINT % 26)::INT + 1]) AS c FROM embeddings),
+r AS (SELECT vec_id, list_transform(range(0, 8), lambda i: array_to_string(list_transform(c[i * 8 + 1:i * 8 + 8], lambda y: CASE WHEN y IS NULL OR y = '' THEN '1' ELSE y END), '')) AS r FROM c)
+SELECT vec_id, array_to_string(list_transform(r, lambda s: replace(replace(replace(replace(replace(replace(replace(s, '11111111', '8'), '1111111', '7'), '111111', '6'), '11111', '5'), '1111', '4'), '111', '3'), '11', '2')), '/') AS fen FROM r""")
+def fen_encode(t):
+    chars = F.transform("embedding", lambda x: fen.class_char(F.abs(F.floor(x.cast("double") * 1000)) % 26))
+    return t("embeddings").select("vec_id", fen.encode(chars).alias("fen"))
+
+
+@query("SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::BIGINT AS best FROM embeddings")
+def argmax_class(t):
+    return t("embeddings").select("vec_id", fen.argmax(F.col("embedding")).alias("best"))
+
+
+# ---- persons
+
+_CAP = "[A-ZÇĞİÖŞÜ][a-zçğıöşü]{2,}"
+
+
+@query()
+def person_candidates(t):
+    return _line_rows(t).select("line_id", F.array_join(persons.person_candidates(F.col("text")), "|").alias("names")).where("names <> ''")
+
+
+@query()
+def person_mentions(t):
+    rows = entities.person_rows(_line_rows(t))
+    return entities.mentions(rows, entities.persons(rows))
+
+
+@query("SELECT row_number() OVER (ORDER BY f, source)::BIGINT AS id, source FROM (SELECT source, min(doc_id) AS f FROM documents GROUP BY source)")
+def surrogate_keys(t):
+    return dml.surrogate_keys(t("documents"), "source", "doc_id", "id")
+
+
+# ---- joins
+
+
+@query("SELECT d.doc_id, d.source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def pending_anti_join(t):
+    return relational.pending(t("documents"), t("labels"), "doc_id").select("doc_id", "source")
+
+
+@query("SELECT d.doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def semi_probe(t):
+    return relational.known(t("documents"), t("labels"), "doc_id").select("doc_id")
+
+
+@query("SELECT o.o_orderkey, l.l_linenumber, c.c_name, coalesce(s.s_name, '') AS s_name, p.p_name FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey LEFT JOIN customer c ON c.c_custkey = o.o_custkey LEFT JOIN supplier s ON s.s_suppkey = l.l_suppkey LEFT JOIN part p ON p.p_partkey = l.l_partkey WHERE o.o_orderstatus IN ('O', 'F')")
+def detail_star_join(t):
+    rows = t("orders").where(F.col("o_orderstatus").isin("O", "F")).join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    rows = rows.join(t("customer"), F.col("o_custkey") == F.col("c_custkey"), "left").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left").join(t("part"), F.col("l_partkey") == F.col("p_partkey"), "left")
+    return rows.select("o_orderkey", "l_linenumber", "c_name", F.coalesce("s_name", F.lit("")).alias("s_name"), "p_name")
+
+
+@query("SELECT d.doc_id, coalesce(trim(c.text), '') AS text FROM documents d LEFT JOIN conversations c ON c.conv_id = d.doc_id AND c.turn = 0")
+def lookup_text(t):
+    first = t("conversations").where("turn = 0").select(F.col("conv_id").alias("doc_id"), F.trim("text").alias("t"))
+    return t("documents").select("doc_id").join(first, "doc_id", "left").select("doc_id", F.coalesce("t", F.lit("")).alias("text"))
+
+
+@query("WITH w AS (SELECT conv_id, turn, conv_id * 1000 + turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations), p AS (SELECT a.id AS id_a, b.id AS id_b FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.rn BETWEEN a.rn + 1 AND a.rn + 5) SELECT id_a, id_b FROM p WHERE (id_a + id_b) % 3 <> 0")
+def new_pairs_only(t):
+    rows = t("conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    pairs = windows.window_pairs(rows, ["conv_id"], ["turn"], "id").select("id_a", "id_b")
+    known = pairs.where((F.col("id_a") + F.col("id_b")) % 3 == 0).select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"))
+    return windows.new_pairs(pairs, known)
+
+
+@query("SELECT l_orderkey, arg_min(l_extendedprice, struct_pack(g := abs(l_extendedprice - 20000), v := l_extendedprice)) AS nearest, min(abs(l_extendedprice - 20000)) AS gap FROM lineitem GROUP BY l_orderkey HAVING min(abs(l_extendedprice - 20000)) <= 5000")
+def nearest_pick(t):
+    return windows.nearest(t("lineitem"), ["l_orderkey"], "l_extendedprice", F.lit(20000), 5000)
+
+
+@query("SELECT n.n_name, r.r_name, CASE r.r_name WHEN 'ASIA' THEN 'east' WHEN 'EUROPE' THEN 'west' ELSE r.r_name END AS side FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey")
+def map_lookup(t):
+    known = F.create_map(F.lit("ASIA"), F.lit("east"), F.lit("EUROPE"), F.lit("west"))
+    rows = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.select("n_name", "r_name", F.coalesce(F.element_at(known, F.col("r_name")), "r_name").alias("side"))
+
+
+# ---- aggregates
+
+
+@query("SELECT (SELECT count(*) FROM documents)::BIGINT AS documents, (SELECT count(*) FROM conversations)::BIGINT AS turns, (SELECT printf('%.3f', avg(quality)) FROM labels) AS avg_quality, (SELECT count(*) FROM labels WHERE toxic = 1)::BIGINT AS toxic, (SELECT coalesce(printf('%.3f', avg(toxic)), 'N/A') FROM labels WHERE doc_id < 0) AS none")
+def summary_metrics(t):
+    labels = t("labels").agg(tx.fixed(F.avg("quality"), 3, "N/A").alias("avg_quality"), F.count_if(F.col("toxic") == 1).alias("toxic"), tx.fixed(F.avg(F.when(F.col("doc_id") < 0, F.col("toxic"))), 3, "N/A").alias("none"))
+    one = lambda name, alias: F.broadcast(t(name).agg(F.count(F.lit(1)).alias(alias)))  # noqa: E731  one row each
+    return labels.crossJoin(one("documents", "documents")).crossJoin(one("conversations", "turns")).select("documents", "turns", "avg_quality", "toxic", "none")
+
+
+@query("SELECT source, count(*)::BIGINT AS n, count(*) FILTER (quality = 1)::BIGINT AS good, count(*) FILTER (quality IS NULL)::BIGINT AS pending, count(*) FILTER (n_chars / 4000.0 > 0.9)::BIGINT AS long FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
+def conditional_counts(t):
+    rows = t("documents").join(t("labels"), "doc_id", "left").groupBy("source")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality").isNull()).alias("pending"), F.count_if(F.col("n_chars") / 4000.0 > 0.9).alias("long"))
+
+
+@query("WITH c AS (SELECT source, lang, count(*) AS n, min(doc_id) AS f FROM documents GROUP BY ALL), r AS (SELECT *, round(n / sum(n) OVER (PARTITION BY source), 4) AS ratio, row_number() OVER (PARTITION BY source ORDER BY n DESC, f) AS rank FROM c) SELECT source, lang, n::BIGINT AS n, ratio, rank::INT AS rank FROM r WHERE rank <= 2")
+def top_values_topk(t):
+    return relational.top_values(t("documents"), ["source"], "lang", "doc_id", 2)
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def string_aggregate(t):
+    return relational.joined_text(t("conversations"), ["conv_id"], "text", "turn")
+
+
+@query("SELECT lang, count(*)::BIGINT AS n, count(*) OVER () * 0 + (SELECT count(*) FROM documents) / ((SELECT count(DISTINCT lang) FROM documents) * count(*)::DOUBLE) AS weight FROM documents GROUP BY lang")
+def class_weights(t):
+    return relational.class_weights(t("documents"), "lang")
+
+
+@query("SELECT quality, count(*) FILTER (toxic = 0)::BIGINT AS \"0\", count(*) FILTER (toxic = 1)::BIGINT AS \"1\" FROM labels GROUP BY quality")
+def confusion_matrix(t):
+    return relational.confusion(t("labels"), "quality", "toxic", [0, 1])
+
+
+@query("""WITH l AS (SELECT DISTINCT unnest([quality, toxic]) AS label FROM labels), c AS (SELECT label, (SELECT count(*) FROM labels WHERE quality = label AND toxic = label) AS h, (SELECT count(*) FROM labels WHERE quality = label) AS s, (SELECT count(*) FROM labels WHERE toxic = label) AS g FROM l),
+p AS (SELECT label, s, CASE WHEN g > 0 THEN h / g ELSE 0 END AS p, CASE WHEN s > 0 THEN h / s ELSE 0 END AS r FROM c) SELECT label, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f1, s::BIGINT AS support FROM p""")
+def classification_report(t):
+    got = relational.report(t("labels"), "quality", "toxic")
+    return got.select("label", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")), "support")
+
+
+@query("WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), s AS (SELECT source, n / sum(n) OVER (PARTITION BY source) AS p FROM c) SELECT source, round(sum(-p * log2(p + 1e-7)), 6) AS bits FROM s GROUP BY source")
+def histogram_entropy(t):
+    counts = t("documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    share = counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("source")))
+    return share.groupBy("source").agg(F.round(F.sum(relational.entropy(F.col("p"))), 6).alias("bits"))
+
+
+@query("SELECT l_returnflag, round(median(l_extendedprice), 6) AS mid, max(l_quantity) AS most, arg_max(l_orderkey, l_extendedprice * 1000000 + l_orderkey) AS largest, count(DISTINCT l_suppkey)::BIGINT AS suppliers FROM lineitem GROUP BY l_returnflag")
+def box_aggregates(t):
+    return t("lineitem").groupBy("l_returnflag").agg(F.round(F.median("l_extendedprice"), 6).alias("mid"), F.max("l_quantity").alias("most"), F.max_by("l_orderkey", F.col("l_extendedprice") * 1000000 + F.col("l_orderkey")).alias("largest"), F.countDistinct("l_suppkey").alias("suppliers"))
+
+
+@query("WITH s AS (SELECT l_suppkey, l_partkey, CASE WHEN l_partkey - lag(l_partkey) OVER (PARTITION BY l_suppkey ORDER BY l_partkey) > 6 THEN 1 ELSE 0 END AS s FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)), c AS (SELECT *, sum(s) OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS cluster FROM s) SELECT l_suppkey, cluster::BIGINT AS cluster, count(*)::BIGINT AS n, count(*)::DOUBLE AS weight, median(l_partkey)::DOUBLE AS median FROM c GROUP BY ALL")
+def gap_cluster_1d(t):
+    return windows.gap_clusters(t("lineitem").select("l_suppkey", "l_partkey").distinct(), ["l_suppkey"], "l_partkey", 6)
+
+
+@query("SELECT event_id, user_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 9) AS diff FROM events")
+def differences(t):
+    return windows.difference(t("events"), ["user_id"], ["ts", "event_id"], "value").select("event_id", "user_id", F.round("diff", 9).alias("diff"))
+
+
+@query("SELECT vec_id, list_transform(range(1, 65, 5), lambda i: embedding[i]) AS sample FROM embeddings")
+def systematic_sample(t):
+    return t("embeddings").select("vec_id", windows.every(F.col("embedding"), 5).alias("sample"))
+
+
+# ---- order and pages
+
+
+@query("SELECT doc_id, ((rn - 1) // 24 + 1)::BIGINT AS page FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents)")
+def page_numbers(t):
+    rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    return t("documents").select("doc_id", relational.page_of(rank).alias("page"))
+
+
+@query("WITH c AS (SELECT source, count(*) AS total, count(*) % 9 AS page FROM documents GROUP BY source), p AS (SELECT *, greatest(1, ceil(total / 24))::BIGINT AS pages FROM c) SELECT source, pages, ((greatest(1, least(page, pages)) - 1) * 24)::BIGINT AS start, greatest(1, least(page, pages))::BIGINT AS page FROM p")
+def paginate(t):
+    counts = t("documents").groupBy("source").agg(F.count(F.lit(1)).alias("total")).withColumn("wanted", F.col("total") % 9)
+    pages, start, page = relational.paging(F.col("total"), F.col("wanted"), 24)
+    return counts.select("source", pages.cast("long").alias("pages"), start.cast("long").alias("start"), page.cast("long").alias("page"))
+
+
+@query("SELECT event_id, user_id, value FROM events ORDER BY event_id LIMIT 500")
+def table_browser(t):
+    return relational.browse(t("events"), "event_id").select("event_id", "user_id", "value")
+
+
+@query("SELECT doc_id, source, lang FROM documents ORDER BY source, doc_id")
+def document_list(t):
+    return relational.ordered(t("documents").select("doc_id", "source", "lang"), "source", "doc_id")
+
+
+@query("SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem) WHERE rank <= 9")
+def top_boxes(t):
+    got = relational.top_k(t("lineitem"), ["l_suppkey"], [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")], 9)
+    return got.select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", "rank")
+
+
+# ---- table changes
+
+_SOURCE = "src AS (SELECT doc_id, source, n_chars, doc_id % 7 AS w FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'again', n_chars + 1, 8 FROM documents WHERE doc_id % 4 = 0), tgt AS (SELECT doc_id, source, n_chars FROM documents WHERE doc_id % 3 = 0)"
+
+
+def _change(t) -> tuple[DataFrame, DataFrame]:
+    docs = t("documents").select("doc_id", "source", "n_chars")
+    again = docs.where("doc_id % 4 = 0").select("doc_id", F.lit("again").alias("source"), (F.col("n_chars") + 1).alias("n_chars"), F.lit(8).cast("long").alias("w"))
+    return docs.where("doc_id % 3 = 0"), docs.where("doc_id % 2 = 0").withColumn("w", F.col("doc_id") % 7).unionByName(again)
+
+
+@query(f"WITH {_SOURCE} SELECT * FROM tgt UNION ALL SELECT doc_id, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w) AS r FROM src) WHERE r = 1 AND doc_id NOT IN (SELECT doc_id FROM tgt)")
+def insert_if_absent(t):
+    target, source = _change(t)
+    return dml.insert_if_absent(target, source, ["doc_id"], ["w"])
+
+
+@query(f"WITH {_SOURCE}, last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC) AS r FROM src) WHERE r = 1) SELECT * FROM tgt WHERE doc_id NOT IN (SELECT doc_id FROM last) UNION ALL SELECT doc_id, source, NULL FROM last")
+def upsert_last_wins(t):
+    target, source = _change(t)
+    return dml.upsert_last(target, source.drop("n_chars"), ["doc_id"], [F.col("w")])
+
+
+@query("SELECT d.doc_id, d.source, CASE WHEN l.doc_id IS NULL THEN d.n_chars ELSE l.quality END AS n_chars FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def update_by_key(t):
+    new = t("labels").select("doc_id", F.col("quality").cast("long").alias("n_chars"))
+    return dml.update_by_key(t("documents").select("doc_id", "source", "n_chars"), new, ["doc_id"], ["n_chars"])
+
+
+@query("SELECT d.doc_id, coalesce(l.quality, d.n_chars % 5) AS quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def fill_null_update(t):
+    target = t("documents").select("doc_id").join(t("labels").select("doc_id", F.col("quality").cast("long").alias("quality")), "doc_id", "left")
+    return dml.fill_null(target, t("documents").select("doc_id", (F.col("n_chars") % 5).alias("quality")), ["doc_id"], "quality")
+
+
+@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(b.quality, a.quality) AS quality, a.toxic FROM (SELECT * FROM labels WHERE doc_id % 2 = 0) a FULL JOIN (SELECT doc_id, (n_chars % 5)::INT AS quality FROM documents WHERE doc_id % 3 = 0) b ON a.doc_id = b.doc_id")
+def update_or_insert(t):
+    new = t("documents").where("doc_id % 3 = 0").select("doc_id", (F.col("n_chars") % 5).cast("int").alias("quality"))
+    return dml.update_or_insert(t("labels").where("doc_id % 2 = 0"), new, ["doc_id"])
+
+
+@query("SELECT doc_id, source, n_chars FROM documents WHERE source NOT IN ('src1', 'src2') UNION ALL SELECT doc_id, source, 0 FROM documents WHERE source IN ('src1', 'src2') AND doc_id % 3 = 0")
+def replace_partition(t):
+    docs = t("documents").select("doc_id", "source", "n_chars")
+    new = docs.where("source in ('src1', 'src2') and doc_id % 3 = 0").withColumn("n_chars", F.lit(0).cast("long"))
+    return dml.replace_partition(docs, new, "source")
+
+
+# ---- models
+
+
+@query()
+def doc_classifier(t):
+    """Held-out rows of a language classifier with what it says."""
+    rows = t("documents").select(F.left("text", F.lit(100_000)).alias("text"), F.col("lang").alias("label"))
+    _, test = doctypes.train(rows, model="logistic")
+    return test.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
