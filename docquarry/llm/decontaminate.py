@@ -182,6 +182,11 @@ def contaminated(hits: str = "hits") -> Column:
     return (n_hit(hits) > 0) & (20 * n_hit(hits) >= F.col(f"{hits}.n_words"))
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns."""
+    return hit_words(docs, benchmark, text_col=text_col).where(~contaminated()).drop("hits")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of all benchmark items in all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

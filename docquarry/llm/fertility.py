@@ -185,6 +185,22 @@ def measure(texts, lang: list, path: str, bands: dict[str, Band] = BANDS) -> lis
     return [n_words.astype(np.int64), word_chars, symbols, _dup_lines(data, off, sums, starts).astype(np.int64), repeats.astype(np.int64), tokens.astype(np.int64), chars, share, relative, inside]
 
 
+def keep_good(docs: DataFrame, path: str, *, text_col: str = "text", lang_col: str = "lang", bands: dict[str, Band] = BANDS) -> DataFrame:
+    """The rows of docs that pass the base rules and their band, with all their columns, in one pass."""
+    names = docs.columns
+    text = f"c{names.index(text_col)}"
+    lang = f"c{names.index(lang_col)}" if lang_col in names else None
+
+    def run(batches):
+        for block in tb.iter_blocks(batches, text, BLOCK_BYTES):
+            got = measure(block[text], block[lang].to_pylist() if lang else [None] * block.num_rows, path, bands)
+            n_words, repeats, inside = got[0], got[4], got[9]
+            yield from block.filter(pa.array((n_words >= 10) & (100 * repeats <= 20 * n_words) & inside)).combine_chunks().to_batches()
+
+    rows = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    return rows.mapInArrow(run, rows.schema).toDF(*names)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document under the 32k piece vocabulary."""
     import public_tokenizers

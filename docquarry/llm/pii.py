@@ -176,6 +176,26 @@ def redact(text: Column, spans: Column) -> Column:
     return F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
 
 
+#: Rows with newly found spans up to which they are broadcast (a few hundred bytes each).
+BROADCAST_ROWS = 20_000
+
+
+def redact_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with all base and newly found spans replaced by their kinds; a null text stays null.
+
+    Base spans are taken in place; only rows with new ones are joined, by id and text."""
+    keyed = docs.withColumn("_key", F.xxhash64(docs[text_col]))
+    found = find_pii(keyed.select(F.col(id_col).alias("_id"), "_key", F.col(text_col).alias("_t")), text_col="_t")
+    found = checkpoints.cut(found.where("size(found) > 0").select("_id", "_key", "found").dropDuplicates(["_id", "_key"]).toDF("_found_id", "_found_key", "found"))
+    rows = extract(keyed, text_col)
+    few = found.count() <= BROADCAST_ROWS
+    match = F.col(id_col).eqNullSafe(F.col("_found_id")) & (F.col("_key") == F.col("_found_key"))
+    rows = rows.join(F.broadcast(found) if few else found, match, "left")
+    spans = F.when(F.col("found").isNull(), F.col("base")).otherwise(F.concat("base", "found"))
+    text = F.when(F.size(spans) > 0, redact(F.col(text_col), spans)).otherwise(F.col(text_col))
+    return rows.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans in all documents."""
     got = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
