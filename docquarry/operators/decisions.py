@@ -43,7 +43,7 @@ def logo_dominant(logo: Column, score: Column, area: Column, text_len: Column, p
         .when((score >= 0.75) & (area >= 0.25), True)
         .when(score < 0.68, False)
         .when(area < 0.015, False)
-        .when(area > 0.50, False)
+        .when(area > 0.50, True)
         .when((text_len >= 80) & (area < 0.15), False)
         .when((person == 1) & (person_area >= 0.15), False)
         .otherwise(True)

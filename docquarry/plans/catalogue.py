@@ -198,7 +198,7 @@ def _flags(t) -> DataFrame:
     return rows.select("doc_id", F.coalesce("toxic", F.lit(0)).alias("person"), part(97).alias("ps"), F.coalesce("quality", F.lit(0)).alias("logo"), part(89).alias("ls"), (F.col("doc_id") % 5 == 0).cast("int").alias("game"), part(83).alias("gs"), part(31).alias("pa"), part(29).alias("la"), (F.col("n_chars") % 160).alias("n"))
 
 
-@query(f"""WITH f AS ({_FLAGS}), g AS (SELECT *, person = 1 AND ps >= 0.55 AND pa >= 0.18 AND n < 80 AS pd, CASE WHEN logo <> 1 THEN false WHEN ls >= 0.75 AND la >= 0.25 THEN true WHEN ls < 0.68 OR la < 0.015 OR la > 0.5 THEN false WHEN n >= 80 AND la < 0.15 THEN false WHEN person = 1 AND pa >= 0.15 THEN false ELSE true END AS ld FROM f)
+@query(f"""WITH f AS ({_FLAGS}), g AS (SELECT *, person = 1 AND ps >= 0.55 AND pa >= 0.18 AND n < 80 AS pd, CASE WHEN logo <> 1 THEN false WHEN ls >= 0.75 AND la >= 0.25 THEN true WHEN ls < 0.68 OR la < 0.015 THEN false WHEN la > 0.5 THEN true WHEN n >= 80 AND la < 0.15 THEN false WHEN person = 1 AND pa >= 0.15 THEN false ELSE true END AS ld FROM f)
 SELECT doc_id, CASE WHEN game = 1 AND gs >= 0.45 THEN 'game_notation' WHEN pd AND ps >= ls THEN 'person' WHEN ld AND ls > ps THEN 'logo' ELSE 'unknown' END AS label, CASE WHEN game = 1 AND gs >= 0.45 THEN gs WHEN pd AND ps >= ls THEN ps WHEN ld AND ls > ps THEN ls ELSE 0 END AS confidence FROM g""")
 def choose_label(t):
     c = F.col
