@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +18,20 @@ def ensure_folder(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and read again from the shared folder."""
+    """df, computed once and read again from the shared folder.
+
+    Shuffle files of plans that were cut before, and are no longer referred to, go
+    when the garbage that held them is collected: this asks for it."""
     ensure_folder(df.sparkSession)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
     return df.checkpoint(eager=True)
+
+
+def table(df: DataFrame) -> DataFrame:
+    """df, written once as Parquet to the shared folder and read again: for rows with their texts."""
+    spark = df.sparkSession
+    ensure_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -33,7 +33,7 @@ from docquarry.llm import textblocks as tb
 from docquarry.llm.textblocks import U
 
 BACKOFF = 0.4
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 _LOW = U((1 << 56) - 1)
 _ROW = "bucket int, block int, payload binary"
 
@@ -145,7 +145,8 @@ def _scores(n: int):
 def backoff_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_bigram, n_unigram, n_unseen (words by the case that scored them), score and mean_score."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    batch = winnow.dealt(docs, id_col, text_col, BLOCK_BYTES)
+    rows = winnow.rows_of(docs, id_col, text_col)
+    batch = winnow.dealt(rows, winnow.count_blocks(rows, BLOCK_BYTES))
     answers = batch.groupBy("block").applyInArrow(_count_rows(n), _ROW).groupBy("bucket").applyInArrow(_totals, _ROW)
     kinds = "id long, n_words long, n_bigram long, n_unigram long, n_unseen long, part double"
     got = checkpoints.cut(batch.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(n), kinds))

@@ -377,7 +377,8 @@ def dedup_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """id, n_bytes, n_removed, n_spans, kept_sha256 and spans (pairs of little-endian 64-bit byte offsets) of all rows."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    batch = winnow.dealt(docs, id_col, text_col, BLOCK_BYTES)
+    rows = winnow.rows_of(docs, id_col, text_col)
+    batch = winnow.dealt(rows, winnow.count_blocks(rows, BLOCK_BYTES))
     groups = lambda: batch.groupBy("block")
     shared = groups().applyInArrow(_anchor_rows(n), _ROW).groupBy("bucket").applyInArrow(_shared, _ROW)
     shared = checkpoints.cut(shared)

@@ -18,19 +18,60 @@ from pyspark.sql import functions as F
 from docquarry.llm import textblocks as tb
 
 KEY_BITS = 40
+#: Bytes of text that a task packs at once.
+PACK_BYTES = 8 << 20
 
 
-def dealt(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """id, text, block: about block_bytes of text in each block; rows without an id or text are left out."""
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).where("id is not null and text is not null and text <> ''")
+def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text; rows without an id or text are left out."""
+    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).where("id is not null and text is not null and text <> ''")
+
+
+def count_blocks(rows: DataFrame, block_bytes: int) -> int:
+    """Blocks of about block_bytes of text each; only their number comes to the driver."""
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-int(total) // block_bytes))
-    return rows.withColumn("block", F.expr(f"cast(pmod(xxhash64(id), {n}) as int)"))
+    return max(1, -(-int(total) // block_bytes))
+
+
+def block_of(col: str, n: int):
+    return F.expr(f"cast(pmod(xxhash64({col}), {n}) as int)")
+
+
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """block, payload: rows (id, text) dealt into n blocks and packed before they are shuffled, by zstd as Arrow streams."""
+    return rows.select("id", "text", block_of("id", n).alias("block")).mapInArrow(_pack, "block int, payload binary")
+
+
+def _pack(batches):
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for table in tb.iter_blocks(batches, "text", PACK_BYTES):
+        block = np.asarray(table["block"])
+        order = np.argsort(block, kind="stable")
+        edge = np.flatnonzero(np.r_[True, block[order][1:] != block[order][:-1]])
+        table = table.select(["id", "text"]).take(pa.array(order)).combine_chunks()
+        payloads = []
+        for x, y in zip(edge, np.r_[edge[1:], len(order)]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=options) as out:
+                out.write_table(table.slice(x, y - x))
+            payloads.append(sink.getvalue().to_pybytes())
+        yield pa.record_batch([pa.array(block[order][edge], pa.int32()), pa.array(payloads, pa.binary())], names=["block", "payload"])
+
+
+_EMPTY = pa.table([pa.array([], pa.int64()), pa.array([], pa.string())], names=["id", "text"])
 
 
-def sorted_block(table: pa.Table) -> pa.Table:
-    """Rows in the order of (id, text)."""
-    return table.sort_by([("id", "ascending"), ("text", "ascending")])
+def sorted_block(packed: pa.Table) -> pa.Table:
+    """The rows of a block in the order of (id, text); with ``past``, if the packed rows tell it."""
+    parts = [_EMPTY]
+    for row in packed.to_pylist():
+        got = pa.ipc.open_stream(row["payload"]).read_all()
+        parts.append(pa.table([got["id"].cast(pa.int64()), got["text"].cast(pa.string())], names=["id", "text"]))
+        if "past" in row:
+            parts[-1] = parts[-1].append_column("past", pa.array([row["past"]] * len(got), pa.bool_()))
+    if "past" in packed.column_names:
+        parts[0] = _EMPTY.append_column("past", pa.array([], pa.bool_()))
+    return pa.concat_tables(parts).sort_by([("id", "ascending"), ("text", "ascending")])
 
 
 def anchors(values: np.ndarray, doc: np.ndarray, k: int, g: int) -> tuple[np.ndarray, np.ndarray]:
