@@ -8,6 +8,8 @@ the block's bytes, so callers cut their input with :func:`iter_blocks`.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +17,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
+
+
+def _return_memory() -> None:
+    """Have large arrays go back to the system when they are freed: workers share a small memory.
+
+    The C library otherwise raises the size from which it does so to 32 MB, and
+    Arrow's default pool keeps what it once had."""
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "mallopt"):
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_return_memory()
 _MASK = (1 << 64) - 1
 
 
