@@ -48,6 +48,7 @@ BLOCK_BYTES = 8 << 20
 #: Rows (of two integers) up to which the documents to compare again are broadcast.
 BROADCAST_ROWS = 100_000
 
+_LOW = tb.U((1 << SIG_BITS) - 1)
 _SUBSETS = list(combinations(range(N2), N2 - K2))
 
 
@@ -243,11 +244,23 @@ def _stars(key, table):
     return pa.Table.from_arrays([pa.array(a), pa.array(b)], schema=kind)
 
 
+def _squeeze(batches):
+    """(id, text as zstd bytes): what is shuffled to be compared."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3)
+    for block in tb.iter_blocks(batches, "text", BLOCK_BYTES):
+        yield pa.record_batch([block["id"].combine_chunks(), pa.array([press.compress(x.as_py().encode()) for x in block["text"]], pa.binary())], names=["id", "text"])
+
+
 def _verify(batches):
     """(a, b, linked) of pairs with their texts."""
-    for block in tb.iter_blocks(batches, "text_a", BLOCK_BYTES // 2):
+    import zstandard
+
+    press = zstandard.ZstdDecompressor()
+    for block in tb.iter_blocks(batches, "text_a", BLOCK_BYTES // 8):
         n = block.num_rows
-        h, off = shingle_sets(pa.chunked_array([*block["text_a"].chunks, *block["text_b"].chunks]))
+        h, off = shingle_sets(pa.array([press.decompress(x.as_py()).decode() for c in ("text_a", "text_b") for x in block[c]], pa.large_string()))
         linked = np.zeros(n, bool)
         for i in range(n):
             x, y = h[off[i] : off[i + 1]], h[off[n + i] : off[n + i + 1]]
@@ -265,22 +278,31 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return checkpoints.cut(both.mapInArrow(_verify, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked")))
 
 
-def _sketch(h: np.ndarray, off: np.ndarray, bits: int) -> np.ndarray:
-    """Parity of the shingles in each of ``bits`` classes: differing bits never outnumber differing shingles."""
-    n = len(off) - 1
-    place = np.repeat(np.arange(n), np.diff(off)) * bits + (tb.mix(h + tb.U(77)) % tb.U(bits)).astype(np.int64)
-    odd = (np.bincount(place, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits)
-    return np.packbits(odd, axis=1)
+def _sketch(h: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+    """Parity of each set's shingles in as many classes as the power of two from its size on.
 
+    Bits that differ never outnumber shingles that differ, also after a sketch is
+    folded to half its length."""
+    mixed = tb.mix(h + tb.U(77))
+    out = []
+    for x, y in zip(off[:-1], off[1:]):
+        bits = max(64, 1 << int(y - x - 1).bit_length())
+        odd = np.bincount((mixed[x:y] & tb.U(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8"))
+    return out
 
-SKETCH_BITS = 1024
+
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
 
 
 def _emit_residual(n_buckets: int):
-    """Rows for the second meeting: (bucket, signature, id, component, size, sketch), one for each signature."""
+    """Rows for the second meeting: the signatures of a block in a bucket with the sets' ids, components, sizes and sketches."""
 
     def run(batches):
-        for block in tb.iter_blocks(batches, "text", BLOCK_BYTES // 4):
+        for block in tb.iter_blocks(batches, "text", BLOCK_BYTES):
             ids, comp = np.asarray(block["id"]), np.asarray(block["comp"])
             h, off = shingle_sets(block["text"])
             ids, h, off, keep = _firsts(ids, h, off)
@@ -288,16 +310,17 @@ def _emit_residual(n_buckets: int):
             if len(ids) == 0:
                 continue
             sig, which = signatures(h, off)
-            sizes, sketch = np.diff(off), _sketch(h, off, SKETCH_BITS)
+            sizes, sketch = np.diff(off), _sketch(h, off)
             bucket = (((sig >> tb.U(48)) * tb.U(n_buckets)) >> tb.U(16)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            bucket, sig, which = bucket[order], sig[order], which[order]
+            order = np.lexsort((sig & _LOW, bucket))
+            bucket, sig, which = bucket[order], sig[order] & _LOW, which[order]
             cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
             rows = []
             for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
                 if y > x:
                     used, local = np.unique(which[x:y], return_inverse=True)
-                    rows.append((b, sig[x:y].astype("<u8").tobytes(), local.astype("<u4").tobytes(), ids[used].astype("<i8").tobytes(), comp[used].astype("<i8").tobytes(), sizes[used].astype("<i8").tobytes(), sketch[used].tobytes()))
+                    kind = "<u2" if len(used) < 1 << 16 else "<u4"
+                    rows.append((b, tb.pack(sig[x:y]), local.astype(kind).tobytes(), ids[used].astype("<i8").tobytes(), comp[used].astype("<i8").tobytes(), sizes[used].astype("<i8").tobytes(), b"".join(sketch[i].tobytes() for i in used)))
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 7))], names=["bucket", "sig", "place", "ids", "comp", "sizes", "sketch"])
 
     return run
@@ -308,36 +331,39 @@ def _between(key, table):
     sig, place, ids, comp, sizes, sketch = [], [], [], [], [], []
     base = 0
     for row in table.to_pylist():
-        sig.append(np.frombuffer(row["sig"], "<u8"))
-        place.append(np.frombuffer(row["place"], "<u4").astype(np.int64) + base)
+        sig.append(tb.unpack(row["sig"]))
         ids.append(np.frombuffer(row["ids"], "<i8"))
+        place.append(np.frombuffer(row["place"], "<u2" if len(ids[-1]) < 1 << 16 else "<u4").astype(np.int64) + base)
         comp.append(np.frombuffer(row["comp"], "<i8"))
         sizes.append(np.frombuffer(row["sizes"], "<i8"))
-        sketch.append(np.frombuffer(row["sketch"], np.uint64).reshape(len(ids[-1]), -1))
+        words = np.maximum(1, [1 << max(0, int(x - 1).bit_length() - 6) for x in sizes[-1]])
+        sketch += np.split(np.frombuffer(row["sketch"], "<u8"), np.cumsum(words)[:-1])
         base += len(ids[-1])
-    sig, place, ids, comp, sizes, sketch = map(np.concatenate, (sig, place, ids, comp, sizes, sketch))
+    sig, place, ids, comp, sizes = map(np.concatenate, (sig, place, ids, comp, sizes))
     order = np.argsort(sig, kind="stable")
     sig, place = sig[order], place[order]
     edge = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1], True])
-    seen: set[tuple[int, ...]] = set()
+    # groups of more than one component
+    least, most = np.minimum.reduceat(comp[place], edge[:-1]), np.maximum.reduceat(comp[place], edge[:-1])
+    seen: set[bytes] = set()
     out_a, out_b = [], []
-    for x, y in zip(edge[:-1], edge[1:]):
-        if y - x < 2:
-            continue
-        group = np.unique(place[x:y])
-        if len(np.unique(comp[group])) < 2 or (mark := tuple(group.tolist())) in seen:
+    for i in np.flatnonzero(least < most):
+        group = np.unique(place[edge[i] : edge[i + 1]])
+        if (mark := group.tobytes()) in seen:
             continue
         seen.add(mark)
-        for i, p in enumerate(group[:-1]):
-            rest = group[i + 1 :]
-            rest = rest[comp[rest] != comp[p]]
-            if len(rest):
-                apart = np.bitwise_count(sketch[rest] ^ sketch[p]).sum(axis=1)
-                near = rest[apart * (DEN + NUM) <= (sizes[rest] + sizes[p]) * (DEN - NUM)]
+        words = min(len(sketch[p]) for p in group)
+        folded = np.stack([_folded(sketch[p], words) for p in group])
+        for j, p in enumerate(group[:-1]):
+            other = np.flatnonzero(comp[group[j + 1 :]] != comp[p]) + j + 1
+            if len(other):
+                rest = group[other]
+                apart = np.bitwise_count(folded[other] ^ folded[j]).sum(axis=1)
+                near = rest[apart.astype(np.int64) * (DEN + NUM) <= (sizes[rest] + sizes[p]) * (DEN - NUM)]
                 out_a.append(np.maximum(ids[near], ids[p]))
                 out_b.append(np.minimum(ids[near], ids[p]))
     a, b = _unique_pairs(np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64),) * 2
-    return pa.Table.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 def buckets(spark: SparkSession) -> int:
@@ -350,14 +376,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     n = buckets(spark)
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    texts = rows.where("id is not null")
+    texts = rows.where("id is not null and text is not null")
+    packed = texts.mapInArrow(_squeeze, "id long, text binary")
     keyed = checkpoints.cut(rows.mapInArrow(_doc_keys, "id long, n_shingles long, k1 long, k2 long"))
     real = keyed.where("id is not null and n_shingles > 0")
     first = real.groupBy("k1", "k2", "n_shingles").agg(F.min("id").alias("first"))
     canon = checkpoints.cut(real.join(first, ["k1", "k2", "n_shingles"]).select("id", "first").distinct())
     stars = texts.mapInArrow(_emit_signatures(n), "bucket int, payload binary").groupBy("bucket").applyInArrow(_stars, "a long, b long")
     pairs = _canonical(stars, canon)
-    checked = verified(pairs, texts)
+    checked = verified(pairs, packed)
     links = checked.where("linked").select("a", "b")
     # copies, and ids that stand for several sets
     same = canon.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
@@ -371,17 +398,35 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         alone = touched.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("id"), F.col("label").alias("comp"))
         members = members.unionByName(alone)
         members = checkpoints.cut(members.join(canon.where("id = first").select("id"), "id", "left_semi").distinct())
+        # few large buckets: a sketch travels to each of them
+        few = max(1, n // 4)
         again = texts.join(F.broadcast(members) if members.count() <= BROADCAST_ROWS else members, "id").select("id", "text", "comp")
         kinds = "bucket int, sig binary, place binary, ids binary, comp binary, sizes binary, sketch binary"
-        more = again.mapInArrow(_emit_residual(n), kinds).groupBy("bucket").applyInArrow(_between, "a long, b long")
+        more = again.mapInArrow(_emit_residual(few), kinds).groupBy("bucket").applyInArrow(_between, "a long, b long")
         more = _canonical(more, canon).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        found = verified(more, texts).where("linked").select("a", "b")
+        found = verified(more, packed).where("linked").select("a", "b")
         if not found.isEmpty():
             labels = components(links.unionByName(same).unionByName(found))
     out = keyed.join(labels, keyed["id"] == labels["node"], "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("label", "id").alias("component_id"))
 
 
+def keep_firsts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group of near duplicates, the one with the least id, with all its columns.
+
+    Of rows that repeat an id, one stays; rows without an id all stay."""
+    near = checkpoints.cut(near_duplicates(docs, id_col=id_col, text_col=text_col).where(F.col(id_col).isNotNull()))
+    gone = near.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    repeated = near.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_twice"))
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS * 10 else df
+    ident = docs[id_col].cast("long")
+    out = docs.join(small(gone), ident == F.col("_gone"), "left_anti")
+    if repeated.isEmpty():
+        return out
+    once = out.join(repeated, ident == F.col("_twice"), "left_semi").dropDuplicates([id_col])
+    return out.join(repeated, ident == F.col("_twice"), "left_anti").unionByName(once)
+
+
 def _canonical(pairs: DataFrame, canon: DataFrame) -> DataFrame:
     """Distinct pairs of the first documents of different sets, the larger id first."""
     first = lambda c: canon.select(F.col("id").alias(c), F.col("first").alias(f"{c}1"))
