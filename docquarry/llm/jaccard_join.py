@@ -260,10 +260,13 @@ def _verify(batches):
     press = zstandard.ZstdDecompressor()
     for block in tb.iter_blocks(batches, "text_a", BLOCK_BYTES // 8):
         n = block.num_rows
-        h, off = shingle_sets(pa.array([press.decompress(x.as_py()).decode() for c in ("text_a", "text_b") for x in block[c]], pa.large_string()))
+        # a hub's text comes with each of its pairs, and is taken apart once
+        seen: dict[bytes, int] = {}
+        left, right = ([seen.setdefault(x.as_py(), len(seen)) for x in block[c]] for c in ("text_a", "text_b"))
+        h, off = shingle_sets(pa.array([press.decompress(x).decode() for x in seen], pa.large_string()))
         linked = np.zeros(n, bool)
         for i in range(n):
-            x, y = h[off[i] : off[i + 1]], h[off[n + i] : off[n + i + 1]]
+            x, y = (h[off[j] : off[j + 1]] for j in (left[i], right[i]))
             if len(x) and len(y):
                 at = np.searchsorted(y, x)
                 same = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
@@ -399,7 +402,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         members = members.unionByName(alone)
         members = checkpoints.cut(members.join(canon.where("id = first").select("id"), "id", "left_semi").distinct())
         # few large buckets: a sketch travels to each of them
-        few = max(1, n // 4)
+        few = max(1, n // 2)
         again = texts.join(F.broadcast(members) if members.count() <= BROADCAST_ROWS else members, "id").select("id", "text", "comp")
         kinds = "bucket int, sig binary, place binary, ids binary, comp binary, sizes binary, sketch binary"
         more = again.mapInArrow(_emit_residual(few), kinds).groupBy("bucket").applyInArrow(_between, "a long, b long")
