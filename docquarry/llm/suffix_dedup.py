@@ -27,6 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +37,9 @@ from docquarry.llm.textblocks import U
 
 LENGTH = 50
 GRAM = 25
-BLOCK_BYTES = 3 << 20
-#: Bytes of one suffix array.
-PIECE_BYTES = 3 << 20
+BLOCK_BYTES = 2 << 20
+#: Bytes of one suffix array (whose values and keys then fit in 63 bits together).
+PIECE_BYTES = 2 << 20
 _ROW = "bucket int, block int, payload binary"
 #: Kasai scans advance side by side in this many places.
 _LANES = 8192
@@ -59,35 +60,27 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     first = _words8(s)
     # a suffix of under eight bytes stands before longer ones with the same padded word
     length = np.minimum(n - np.arange(n), 8).astype(np.int8)
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first)
     key = first[order]
     new = np.r_[True, key[1:] != key[:-1]] if n else np.zeros(0, bool)
     for place in range(max(0, n - 7), n):
         x, y = np.searchsorted(key, first[place], "left"), np.searchsorted(key, first[place], "right")
         order[x:y] = order[x:y][np.argsort(length[order[x:y]], kind="stable")]
         new[x + 1 : y] |= length[order[x + 1 : y]] != length[order[x : y - 1]]
-    h = 8
-    group = np.cumsum(new) - 1
-    start = np.flatnonzero(new)
+    # a suffix's rank is where its group begins; groups of one are settled
     rank = np.empty(n, np.int64)
-    rank[order] = start[group]
-    while len(start) < n:
-        size = np.diff(np.r_[start, n])
-        open_ = np.repeat(size > 1, size)
-        at = np.flatnonzero(open_)
-        if len(at) == 0:
-            break
+    at, h = np.arange(n), 8
+    while len(at):
+        begin = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        rank[order[at]] = begin
+        single = new & np.r_[new[1:], True]
+        at, begin = at[~single], begin[~single]
         where = order[at]
-        nxt = where + h
-        second = np.where(nxt < n, rank[np.minimum(nxt, n - 1)], -1)
-        own = rank[where]
-        turn = np.lexsort((second, own))
-        order[at] = where[turn]
-        own, second = own[turn], second[turn]
-        split = np.r_[True, (own[1:] != own[:-1]) | (second[1:] != second[:-1])]
-        new[at] = split
-        start = np.flatnonzero(new)
-        rank[order] = np.repeat(start, np.diff(np.r_[start, n]))
+        second = np.where(where + h < n, rank[np.minimum(where + h, n - 1)] + 1, 0)
+        both = begin * (n + 1) + second
+        turn = np.argsort(both)
+        order[at], both = where[turn], both[turn]
+        new = np.r_[True, both[1:] != both[:-1]] if len(at) else np.zeros(0, bool)
         h *= 2
     return order
 
@@ -202,25 +195,37 @@ def _segment_rows(n: int):
         raw = data.tobytes()
         rows = []
         shard = winnow.bucket_of(anchor[first], n)
-        order = np.lexsort((anchor[first], shard))
+        order = np.lexsort((winnow.low(anchor[first]), shard))
         cuts = np.searchsorted(shard[order], np.arange(n + 1))
         for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
             if y > x:
                 at = first[order[x:y]]
                 text = b"".join(raw[p : p + w + LENGTH - 1] for p, w in zip(runs[at].tolist(), windows[at].tolist()))
-                rows.append((b, key[0].as_py(), b"".join([len(at).to_bytes(4, "little"), anchor[at].astype("<u8").tobytes(), owner[at].astype("<i8").tobytes(), content[at].astype("<u8").tobytes(), windows[at].astype("<u2").tobytes(), text])))
+                rows.append((b, key[0].as_py(), _closed(winnow.low(anchor[at]), owner[at], windows[at], text)))
         return _rows(rows)
 
     return run
 
 
+def _closed(anchor: np.ndarray, owner: np.ndarray, windows: np.ndarray, text: bytes) -> bytes:
+    """Segments in the order of their anchors: anchors as differences, documents by place in a list, bytes by zstd."""
+    used, place = np.unique(owner, return_inverse=True)
+    keys = tb.pack(anchor)
+    parts = [keys, used.astype("<i8").tobytes(), place.astype("<u4").tobytes(), windows.astype("<u2").tobytes()]
+    head = b"".join(len(x).to_bytes(4, "little") for x in parts)
+    return head + b"".join(parts) + zstandard.ZstdCompressor(level=3).compress(text)
+
+
 def _open_segments(raw: bytes):
-    n = int.from_bytes(raw[:4], "little")
-    anchor = np.frombuffer(raw, "<u8", n, 4)
-    owner = np.frombuffer(raw, "<i8", n, 4 + 8 * n)
-    content = np.frombuffer(raw, "<u8", n, 4 + 16 * n)
-    windows = np.frombuffer(raw, "<u2", n, 4 + 24 * n).astype(np.int64)
-    return anchor, owner, content, windows, np.frombuffer(raw, np.uint8, -1, 4 + 26 * n)
+    """(anchors, documents, content hashes, window counts, bytes); the hashes are those of the sender, from the bytes."""
+    sizes = [int.from_bytes(raw[i : i + 4], "little") for i in range(0, 16, 4)]
+    cuts = np.cumsum([16, *sizes])
+    keys, used, place, windows = (raw[x:y] for x, y in zip(cuts[:-1], cuts[1:]))
+    windows = np.frombuffer(windows, "<u2").astype(np.int64)
+    text = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[cuts[-1] :]), np.uint8)
+    stop = np.cumsum(windows + LENGTH - 1)
+    content = tb.span_hash(tb.prefix_sums(tb.BYTE_VALUES[text]), stop - windows - LENGTH + 1, stop)
+    return tb.unpack(keys), np.frombuffer(used, "<i8")[np.frombuffer(place, "<u4")], content, windows, text
 
 
 def _piece_strings(text: np.ndarray, sizes: np.ndarray, owner: np.ndarray):
