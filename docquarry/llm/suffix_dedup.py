@@ -41,6 +41,8 @@ BLOCK_BYTES = 2 << 20
 #: Bytes of one suffix array (whose values and keys then fit in 63 bits together).
 PIECE_BYTES = 2 << 20
 _ROW = "bucket int, block int, payload binary"
+#: Shards for each shuffle partition.
+SHARDS = 2
 #: Kasai scans advance side by side in this many places.
 _LANES = 8192
 
@@ -185,7 +187,7 @@ def _segments(docs: pa.Table, shared: pa.Table, n: int):
     return docs, data, off, owner, runs, windows, anchor[runs], content, first, which
 
 
-def _segment_rows(n: int):
+def _segment_rows(n: int, shards: int):
     """Rows (shard, block, segments): anchors, least documents, window counts, content hashes and bytes."""
 
     def run(key, docs, shared):
@@ -194,9 +196,9 @@ def _segment_rows(n: int):
         _, data, _, owner, runs, windows, anchor, content, first, _ = _segments(docs, shared, n)
         raw = data.tobytes()
         rows = []
-        shard = winnow.bucket_of(anchor[first], n)
+        shard = winnow.bucket_of(anchor[first], shards)
         order = np.lexsort((winnow.low(anchor[first]), shard))
-        cuts = np.searchsorted(shard[order], np.arange(n + 1))
+        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
         for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
             if y > x:
                 at = first[order[x:y]]
@@ -255,7 +257,7 @@ def _merge(pieces: list[dict]) -> None:
     """Least owners across pieces that an anchor was cut between: each string is looked up by binary search."""
     for q, mine in enumerate(pieces):
         for p, other in enumerate(pieces):
-            if p == q or other["high"] < mine["low"] or mine["high"] < other["low"]:
+            if p == q:
                 continue
             for x in (mine, other):
                 if "sorted" not in x:
@@ -268,6 +270,25 @@ def _merge(pieces: list[dict]) -> None:
         x["least"] = x.get("new", x["least"])
 
 
+def _cuts(anchor: np.ndarray, sizes: np.ndarray):
+    """(from, to, whether the next piece goes on with this one's last anchor) of pieces, cut between anchors if possible."""
+    x = group = total = of_group = 0
+    for i, size in enumerate(sizes.tolist()):
+        if i and anchor[i] != anchor[i - 1]:
+            group, of_group = i, 0
+        if total and total + size > PIECE_BYTES:
+            if group > x:
+                yield x, group, False
+                x, total = group, of_group
+            else:
+                yield x, i, group < i
+                x, total = i, 0
+        total += size
+        of_group += size
+    if len(sizes):
+        yield x, len(sizes), False
+
+
 def _shard(key, table):
     """To each block, of its segments with such windows: content hash and a bit for each window that a smaller document has."""
     block, parts = [], []
@@ -284,31 +305,26 @@ def _shard(key, table):
     chosen = order[new]
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(new) - 1
-    cuts = [0]
-    total = 0
-    for i, size in enumerate(sizes[chosen].tolist()):
-        if total and total + size > PIECE_BYTES:
-            cuts.append(i)
-            total = 0
-        total += size
-    cuts.append(len(chosen))
-    pieces = []
-    for x, y in zip(cuts[:-1], cuts[1:]):
-        at = chosen[x:y]
-        s = sizes[at]
-        take = np.repeat(begin[at] - (np.cumsum(s) - s), s) + np.arange(int(s.sum()))
-        places, string, sample, least = _piece_strings(text[take], s, owner[at])
-        pieces.append({"text": text[take], "places": places, "string": string, "sample": sample, "least": least, "low": anchor[at[0]], "high": anchor[at[-1]], "sizes": s, "x": x})
-    if len(pieces) > 1:
-        _merge(pieces)
     # least owner of each window of each chosen segment
     w = windows[chosen]
     wbegin = np.cumsum(w) - w
     best = np.empty(int(w.sum()), np.int64)
-    for p in pieces:
-        s_end = np.cumsum(p["sizes"])
-        seg = np.searchsorted(s_end, p["places"], side="right")
-        best[wbegin[p["x"] + seg] + p["places"] - (s_end - p["sizes"])[seg]] = p["least"][p["string"]]
+    held: list[dict] = []
+    for x, y, more in _cuts(anchor[chosen], sizes[chosen]):
+        at = chosen[x:y]
+        s = sizes[at]
+        take = np.repeat(begin[at] - (np.cumsum(s) - s), s) + np.arange(int(s.sum()))
+        places, string, sample, least = _piece_strings(text[take], s, owner[at])
+        held.append({"text": text[take], "places": places, "string": string, "sample": sample, "least": least, "sizes": s, "x": x})
+        if more:
+            continue  # the next piece has the same anchor
+        if len(held) > 1:
+            _merge(held)
+        for p in held:
+            s_end = np.cumsum(p["sizes"])
+            seg = np.searchsorted(s_end, p["places"], side="right")
+            best[wbegin[p["x"] + seg] + p["places"] - (s_end - p["sizes"])[seg]] = p["least"][p["string"]]
+        held = []
     out: dict[int, list[bytes]] = {}
     # a segment's owner is compared with the least owner of each of its windows
     reps = windows
@@ -387,7 +403,7 @@ def dedup_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     groups = lambda: batch.groupBy("block")
     shared = groups().applyInArrow(_anchor_rows(n), _ROW).groupBy("bucket").applyInArrow(_shared, _ROW)
     shared = checkpoints.cut(shared)
-    bits = groups().cogroup(shared.groupBy("block")).applyInArrow(_segment_rows(n), _ROW).groupBy("bucket").applyInArrow(_shard, _ROW)
+    bits = groups().cogroup(shared.groupBy("block")).applyInArrow(_segment_rows(n, SHARDS * n), _ROW).groupBy("bucket").applyInArrow(_shard, _ROW)
     answers = shared.withColumn("bits", F.lit(False)).unionByName(bits.withColumn("bits", F.lit(True)))
     out = groups().cogroup(answers.groupBy("block")).applyInArrow(_result(n), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary")
     ident, text = docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit(""))
