@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from docquarry.llm import textblocks as tb
 
-BLOCK_BYTES = 8 << 20
-REMEMBERED = 600_000
+BLOCK_BYTES = 4 << 20
+REMEMBERED = 300_000
 #: Tokens from which the entropy of a document says something.
 MIN_TOKENS = 64
 

@@ -87,8 +87,8 @@ def _power_table(base: int, n: int) -> np.ndarray:
 def prefix_sums(values: np.ndarray) -> np.ndarray:
     """Prefix sums of values[i] * base**i modulo 2**64, with a leading zero."""
     out = np.zeros(len(values) + 1, dtype=U)
-    np.cumsum(values * _power_table(_BASE, len(values)), dtype=U, out=out[1:])
-    return out
+    np.multiply(values, _power_table(_BASE, len(values)), out=out[1:])
+    return np.cumsum(out, dtype=U, out=out)
 
 
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
