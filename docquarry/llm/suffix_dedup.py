@@ -213,7 +213,7 @@ def _closed(anchor: np.ndarray, owner: np.ndarray, windows: np.ndarray, text: by
     """Segments in the order of their anchors: anchors as differences, documents by place in a list, bytes by zstd."""
     used, place = np.unique(owner, return_inverse=True)
     keys = tb.pack(anchor)
-    parts = [keys, used.astype("<i8").tobytes(), place.astype("<u4").tobytes(), windows.astype("<u2").tobytes()]
+    parts = [keys, used.astype("<i8").tobytes(), place.astype("<u4").tobytes(), windows.astype("<u4").tobytes()]
     head = b"".join(len(x).to_bytes(4, "little") for x in parts)
     return head + b"".join(parts) + zstandard.ZstdCompressor(level=3).compress(text)
 
@@ -223,7 +223,7 @@ def _open_segments(raw: bytes):
     sizes = [int.from_bytes(raw[i : i + 4], "little") for i in range(0, 16, 4)]
     cuts = np.cumsum([16, *sizes])
     keys, used, place, windows = (raw[x:y] for x, y in zip(cuts[:-1], cuts[1:]))
-    windows = np.frombuffer(windows, "<u2").astype(np.int64)
+    windows = np.frombuffer(windows, "<u4").astype(np.int64)
     text = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[cuts[-1] :]), np.uint8)
     stop = np.cumsum(windows + LENGTH - 1)
     content = tb.span_hash(tb.prefix_sums(tb.BYTE_VALUES[text]), stop - windows - LENGTH + 1, stop)
@@ -339,15 +339,15 @@ def _shard(key, table):
 
 
 def _framed(parts: list[bytes]) -> bytes:
-    return b"".join(len(p).to_bytes(2, "little") + p for p in parts)
+    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
 
 
 def _unframed(raw: bytes):
     at = 0
     while at < len(raw):
-        size = int.from_bytes(raw[at : at + 2], "little")
-        yield int.from_bytes(raw[at + 2 : at + 10], "little"), raw[at + 10 : at + 2 + size]
-        at += 2 + size
+        size = int.from_bytes(raw[at : at + 4], "little")
+        yield int.from_bytes(raw[at + 4 : at + 12], "little"), raw[at + 12 : at + 4 + size]
+        at += 4 + size
 
 
 def _result(n: int):

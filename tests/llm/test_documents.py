@@ -129,6 +129,16 @@ def test_repeated_bytes(with_null, rows, empty):
     assert suffix_dedup.dedup_bytes(empty).count() == 0
 
 
+def test_repeated_bytes_of_long_periodic_texts(spark):
+    """Segments of more than 65,535 windows, and of more windows than 16 bits of frame hold, beside others of their shards."""
+    plain = [" ".join(f"p{k}w{j * 7 % 31}" for j in range(40)) for k in range(20)]
+    texts = ["And " * 50, "And " * 17_500, "own words And " + "And " * 150_000, "-" * 70_000, "=" * 300 + "-" * 80_000]
+    texts += [f"{k} begins {p} ends" for k, p in enumerate(plain)] + [f"other {k}: {p} and {plain[-1 - k]}" for k, p in enumerate(plain)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert by_id(suffix_dedup.dedup_bytes(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeated_bytes(rows)
+
+
 def test_decontamination(spark, docs, rows, empty, monkeypatch):
     items = [(1, " ".join(f"Word{i}" for i in range(5, 25))), (2, "three FOUR, five!"), (3, ""), (4, None), (10, "three four five"), (5, "日本語"), (None, "one two")]
     bench = spark.createDataFrame(items, "item_id long, text string")
