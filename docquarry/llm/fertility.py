@@ -4,7 +4,8 @@ A public vocabulary with byte fallback encodes each word of a document (the
 distinct words of a block once).  Three figures follow: characters per token,
 the share of byte-fallback tokens, and the entropy of the document's tokens as
 a share of the most it could be.  A document outside the band of its language,
-or of its script if the language has none, is rejected.  The base rules (too
+or of its script if the language has none, is rejected, as is one whose letters
+are mostly of another script than its language's.  The base rules (too
 few words, too many words in repeated five-word windows) are counted in the
 same pass.  There is no shuffle.
 
@@ -41,13 +42,17 @@ class Band(NamedTuple):
     least_entropy: float
 
 
-LATIN = Band(1.15, 12.0, 0.30, 0.30)
-#: Bands by language code, and by script for the rest.
+#: Bands by language code, and by script for the rest.  The languages' least bounds are
+#: from the rows of sf0.1 labelled quality 1 that pass the base rules and have
+#: MIN_TOKENS: of what one row in 200 of its language undercuts, 0.92 of the
+#: characters per token and 0.8 of the entropy.  No such row falls back to bytes or
+#: nears the most characters (its invented words are shorter than real ones).  The
+#: bands of scripts have no clean rows to go by.
 BANDS = {
-    "en": LATIN,
-    "fr": LATIN,
-    "de": LATIN,
-    "es": LATIN,
+    "en": Band(1.85, 12.0, 0.10, 0.44),
+    "fr": Band(1.59, 12.0, 0.10, 0.40),
+    "de": Band(1.90, 12.0, 0.10, 0.43),
+    "es": Band(1.65, 12.0, 0.10, 0.42),
     "latin": Band(1.0, 14.0, 0.40, 0.25),
     "greek": Band(0.6, 6.0, 0.50, 0.25),
     "cyrillic": Band(0.9, 8.0, 0.40, 0.25),
@@ -56,6 +61,8 @@ BANDS = {
     "cjk": Band(0.3, 4.0, 0.95, 0.20),
     "other": Band(0.25, 14.0, 0.98, 0.15),
 }
+#: Script of the languages that have a band.
+LANGUAGE_SCRIPT = {"en": "latin", "fr": "latin", "de": "latin", "es": "latin"}
 _SCRIPTS = ["latin", "greek", "cyrillic", "semitic", "indic", "cjk", "other"]
 #: Script of a lead byte: index into _SCRIPTS, -1 for bytes that say nothing.
 _LEAD = np.full(256, -1, np.int8)
@@ -149,6 +156,16 @@ def _band_rows(lang: list, data, off, bands) -> np.ndarray:
     return np.array(out, float).reshape(-1, 4)
 
 
+def _other_script(lang: list, data, off) -> np.ndarray:
+    """Documents whose letters are mostly of another script than their language's."""
+    scripts = np.array([_SCRIPTS.index(LANGUAGE_SCRIPT[x]) if x in LANGUAGE_SCRIPT else -1 for x in lang], np.int64)
+    lead = _LEAD[data]
+    letters, out = tb.per_doc(lead >= 0, off), np.zeros(len(lang), bool)
+    for script in set(scripts[scripts >= 0].tolist()):
+        out |= (scripts == script) & (2 * tb.per_doc(lead == script, off) < letters)
+    return out
+
+
 def quality(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bands: dict[str, Band] = BANDS) -> DataFrame:
     """Per row: base counts, base_failed, fertility figures and kept; other columns of docs are not carried."""
     out = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, token_entropy double, in_band boolean"
@@ -182,6 +199,7 @@ def measure(texts, lang: list, path: str, bands: dict[str, Band] = BANDS) -> lis
     relative = entropy / np.log2(np.clip(tokens, 2, 1 << 15))
     band = _band_rows(lang, data, off, bands)
     inside = (tokens > 0) & (chars >= band[:, 0]) & (chars <= band[:, 1]) & (share <= band[:, 2]) & ((tokens < MIN_TOKENS) | (relative >= band[:, 3]))
+    inside &= ~_other_script(lang, data, off)
     return [n_words.astype(np.int64), word_chars, symbols, _dup_lines(data, off, sums, starts).astype(np.int64), repeats.astype(np.int64), tokens.astype(np.int64), chars, share, relative, inside]
 
 

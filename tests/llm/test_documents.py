@@ -65,6 +65,32 @@ def test_quality_bands_reject_noise(spark):
     assert got == {1: (False,), 2: (True,)}
 
 
+def test_quality_bands_reject_planted_junk(spark):
+    """Gibberish, base64, mojibake, symbols and another script go; prose, a table of it and short identifiers within it stay."""
+    import base64
+    import random
+
+    rng = random.Random(5)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(4, 10)))
+    cyrillic = "это был яркий холодный апрельский день часы пробили тринадцать люди шли домой после долгой работы".split()
+    prose = {
+        "en": "It was a bright cold day in April, and the clocks were striking thirteen while people went home to read the news.",
+        "fr": "La petite ville était calme ce matin, et les enfants allaient à l'école pendant que leurs parents ouvraient les magasins.",
+        "de": "Am frühen Morgen gingen die Kinder in die Schule, während ihre Eltern die kleinen Läden der alten Stadt öffneten.",
+        "es": "La pequeña ciudad estaba tranquila esta mañana, y los niños iban a la escuela mientras sus padres abrían las tiendas.",
+    }
+    junk = []
+    for lang in prose:
+        junk += [(lang, " ".join(word("bcdfghjklmnpqrstvwxz") for _ in range(60))), (lang, " ".join(base64.b64encode(rng.randbytes(45)).decode() for _ in range(12)))]
+        junk += [(lang, " ".join(word("#*$%&|<>{}[]^~@!") for _ in range(60))), (lang, " ".join(rng.choice(cyrillic) for _ in range(60)))]
+        junk.append((lang, " ".join(word("éèàùçêôîœëï").encode().decode("latin1") for _ in range(60))))
+    junk += [(lang, " ".join(word("abcdefghijklmnopqrstuvwxyz") for _ in range(200))) for lang in ("en", "de")]
+    good = list(prose.items()) + [("en", prose["en"].replace(" ", " | ")), ("en", prose["en"] + " Call +1 (551) 555-0826 or 10.20.30.40.")]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate([*good, *junk])], "doc_id long, lang string, text string")
+    got = by_id(fertility.quality(df, TOKENIZERS.path("piece_bpe_32k.model")), "doc_id", "in_band")
+    assert [got[i][0] for i in range(len(got))] == [True] * len(good) + [False] * len(junk)
+
+
 def test_near_duplicates(docs, rows, empty):
     got = by_id(jaccard_join.near_duplicates(docs), "doc_id", "n_shingles", "component_id")
     assert got == brute.near(rows)
