@@ -4,8 +4,11 @@ A rule is ``host/path-prefix``; it fits its host and all subdomains.  The longes
 fitting rule decides (of equally long ones that with the longer host, then block).
 For the other pages their host decides: trust is personalised PageRank over host
 edges, started from the hosts whose pages the rules allow; distrust runs over the
-reversed edges from hosts whose pages the rules block.  A host is blocked if its
-distrust reaches ``LEAST_DISTRUST`` and is ``RATIO`` times its trust.
+reversed edges from hosts whose pages the rules block.  Distrust is shared among
+all hosts that link to a blocked one, so it tells nothing of one host's conduct:
+beside it goes each host's lead, what its own links take over from their targets,
+each by its share of the host's links.  A host is blocked if its lead reaches
+``LEAST_LEAD`` and is ``RATIO`` times its trust.
 
 All of it is DataFrame operations.  Host tables are aggregated before they are
 joined; they are broadcast only below a checked number of rows.
@@ -26,7 +29,8 @@ from docquarry.llm import checkpoints
 DAMPING = 0.85
 ROUNDS = 12
 RATIO = 2.0
-LEAST_DISTRUST = 0.01
+#: A host with all its links to wholly blocked hosts has 0.1275.
+LEAST_LEAD = 0.01
 #: Hosts up to which a table with a row for each host (below 1 kB) is broadcast.
 BROADCAST_HOSTS = 20_000
 #: Rules of the query: (host/path, verdict).
@@ -72,21 +76,23 @@ def host_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, *, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """host, trust, distrust from seeds (host, allowed, blocked: shares of its pages)."""
-    start = seeds.select("host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("allowed").alias("seed")), F.struct(F.lit("distrust").alias("kind"), F.col("blocked").alias("seed")))).alias("x"))
+    """host, trust, distrust, lead from seeds (host, allowed, blocked: shares of its pages)."""
+    kinds = (("trust", "allowed", "src", "dst", "src"), ("distrust", "blocked", "dst", "src", "dst"), ("lead", "blocked", "dst", "src", "src"))
+    start = seeds.select("host", F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(seed).alias("seed")) for kind, seed, *_ in kinds))).alias("x"))
     start = checkpoints.cut(start.select("host", "x.kind", (F.col("x.seed") * (1 - damping)).alias("score")).where("score > 0"))
     ranks = start
     edges = checkpoints.cut(edges)
     if not edges.isEmpty():
-        both = edges.select(F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b")))).alias("x"), "weight").select("x.*", "weight")
-        sums = both.groupBy("kind", "a").agg(F.sum("weight").alias("all"))
-        steps = checkpoints.cut(both.join(sums, ["kind", "a"]).select("kind", F.col("a").alias("host"), "b", (damping * F.col("weight") / F.col("all")).alias("share")))
+        # each kind goes from a to b, by the share of the edge in the weight of one of its ends
+        each = edges.select(F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"), F.col(by).alias("by")) for kind, _, a, b, by in kinds))).alias("x"), "weight").select("x.*", "weight")
+        sums = each.groupBy("kind", "by").agg(F.sum("weight").alias("all"))
+        steps = checkpoints.cut(each.join(sums, ["kind", "by"]).select("kind", F.col("a").alias("host"), "b", (damping * F.col("weight") / F.col("all")).alias("share")))
         for i in range(rounds):
             sent = steps.join(ranks, ["kind", "host"]).select(F.col("b").alias("host"), "kind", (F.col("share") * F.col("score")).alias("score"))
             ranks = sent.unionByName(start).groupBy("host", "kind").agg(F.sum("score").alias("score"))
             ranks = checkpoints.cut(ranks) if i % 3 == 2 else ranks
     by = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0)).alias(kind)
-    return ranks.groupBy("host").agg(by("trust"), by("distrust"))
+    return ranks.groupBy("host").agg(by("trust"), by("distrust"), by("lead"))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -104,8 +110,8 @@ def judge_pages(pages: DataFrame, rules: list[tuple[str, str]], *, id_col: str =
     share = lambda v: F.avg(F.when(F.col("ruled") == v, 1.0).otherwise(0.0))
     seeds = judged.where("host <> ''").groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked"))
     scores = checkpoints.cut(propagate(host_edges(pages, url_col, html_col), seeds))
-    bad = (F.col("distrust") >= LEAST_DISTRUST) & (F.col("distrust") >= RATIO * F.col("trust"))
-    out = judged.join(_small(scores), "host", "left").fillna(0.0, ["trust", "distrust"])
+    bad = (F.col("lead") >= LEAST_LEAD) & (F.col("lead") >= RATIO * F.col("trust"))
+    out = judged.join(_small(scores), "host", "left").fillna(0.0, ["trust", "distrust", "lead"])
     verdict = F.coalesce(F.col("ruled"), F.when(bad, "block").otherwise("allow"))
     return out.select(id_col, "host", "path", "rule", verdict.alias("verdict"), F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
 

@@ -86,6 +86,18 @@ def test_link_graph(spark):
     assert got[4].trust == pytest.approx(0.85 * 0.15) and got[3].distrust == pytest.approx(0.85 * 0.15)
 
 
+def test_verdicts_do_not_depend_on_who_else_links(spark):
+    """A host that only links to a blocked one is blocked, be it one of 1 or of 1,000; one that does so among 39 other links is not."""
+    link = lambda host: f'<a href="http://{host}/">x</a>'
+    for farms in (1, 13, 1000):
+        pages = [("http://bad.com/de/1", "")] + [(f"http://farm{i}.net/", link("bad.com")) for i in range(farms)]
+        pages += [("http://mixed.net/", link("bad.com") + "".join(link(f"plain{i}.net") for i in range(39))), ("http://second.net/", link("farm0.net"))]
+        df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+        got = {r.host: r.verdict for r in url_filter.judge_pages(df, url_filter.RULES).collect()}
+        assert {v for h, v in got.items() if h.startswith("farm")} == {"block"}
+        assert (got["bad.com"], got["mixed.net"], got["second.net"]) == ("block", "allow", "block")
+
+
 def test_propagation_against_dense_iteration(spark):
     rng = np.random.default_rng(3)
     n = 12
