@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import chess, persons, similarity
@@ -70,9 +70,15 @@ def normalize_text(t):
 
 @query("SELECT doc_id, trim(regexp_replace(replace(replace(lower(trim(regexp_replace(left(text, 60), '\\s+', ' ', 'g'))), 'ß', 'ss'), 'i̇', 'i'), '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')) AS name FROM documents")
 def normalize_name(t):
+    # its SQL reads 60 characters; normalize_name_whole reads all
     return t("documents").select("doc_id", tx.normalize_name(F.left("text", F.lit(60))).alias("name"))
 
 
+@query()
+def normalize_name_whole(t):
+    return t("documents").select("doc_id", tx.normalize_name(F.col("text")).alias("name"))
+
+
 @query(f"WITH {_KEYED} SELECT a.line_id::BIGINT AS line_id_a, b.line_id::BIGINT AS line_id_b FROM keyed a JOIN keyed b ON a.bucket = b.bucket AND a.prefix = b.prefix AND a.line_id < b.line_id AND abs(a.len - b.len) <= 10")
 def blocked_pairs(t):
     return lines.blocked_pairs(_norm_rows(t))
@@ -242,10 +248,19 @@ _TOKEN = r"(O-O-O|O-O|[KQRBN]?[a-h]?[1-8]?x?[a-h][1-8](?:=[QRBN])?[+#]?|\d+\.(?:
 _GAME = "replace(replace(replace(replace('1. e4 e5 2. Nf3 ' || url || ' ' || left(html, 400), '0-0-0', 'O-O-O'), '0-0', 'O-O'), 'o-o-o', 'O-O-O'), 'o-o', 'O-O')"
 
 
+def _game(html: Column) -> Column:
+    return F.concat(F.lit("1. e4 e5 2. Nf3 "), "url", F.lit(" "), html)
+
+
 @query(f"SELECT page_id, array_to_string(regexp_extract_all(trim(regexp_replace({_GAME}, '\\s+', ' ', 'g')), '{_TOKEN}', 1), ' ') AS tokens FROM pages")
 def chess_tokens(t):
-    raw = F.concat(F.lit("1. e4 e5 2. Nf3 "), "url", F.lit(" "), F.left("html", F.lit(400)))
-    return t("pages").select("page_id", F.array_join(chess.tokens(chess.normalize_chess(raw)), " ").alias("tokens"))
+    # its SQL reads 400 characters of html; chess_tokens_whole reads all
+    return t("pages").select("page_id", F.array_join(chess.tokens(chess.normalize_chess(_game(F.left("html", F.lit(400))))), " ").alias("tokens"))
+
+
+@query()
+def chess_tokens_whole(t):
+    return t("pages").select("page_id", F.array_join(chess.tokens(chess.normalize_chess(_game(F.col("html")))), " ").alias("tokens"))
 
 
 @query(f"""WITH k AS (SELECT page_id, regexp_extract_all(trim(regexp_replace({_GAME}, '\\s+', ' ', 'g')), '{_TOKEN}', 1) AS k FROM pages),
@@ -254,13 +269,18 @@ len(list_filter(k, lambda x: regexp_full_match(x, '[a-h]2?[34][+#]?') OR regexp_
 s AS (SELECT *, round(numbers + 1.2 * moves + 1.5 * valid, 6)::DOUBLE AS signal FROM c)
 SELECT page_id, numbers, moves, valid, signal, ((numbers >= 3 AND moves >= 8) OR signal >= 18)::INT AS flag, CASE WHEN (numbers >= 3 AND moves >= 8) OR signal >= 18 THEN round(least(1.0, signal / 30.0), 4) ELSE 0 END::DOUBLE AS score FROM s""")
 def game_notation_score(t):
-    raw = F.concat(F.lit("1. e4 e5 2. Nf3 "), "url", F.lit(" "), F.left("html", F.lit(400)))
-    return t("pages").select("page_id", chess.notation_signal(raw).alias("x")).select("page_id", "x.*")
+    # its SQL reads 400 characters of html; game_notation_score_whole reads all
+    return t("pages").select("page_id", chess.notation_signal(_game(F.left("html", F.lit(400)))).alias("x")).select("page_id", "x.*")
+
+
+@query()
+def game_notation_score_whole(t):
+    return t("pages").select("page_id", chess.notation_signal(_game(F.col("html"))).alias("x")).select("page_id", "x.*")
 
 
 @query()
 def notation_lines(t):
-    raw = F.concat(F.lit("1.e4 "), F.left("text", F.lit(120)))
+    raw = F.concat(F.lit("1.e4 "), "text")
     return t("documents").select("doc_id", chess.notation_line(raw).alias("line")).where("line is not null")
 
 
