@@ -104,11 +104,16 @@ def char_dice_pairs(t):
 
 @query(f"WITH {_PAIRS} SELECT rep_a::BIGINT AS rep_a, rep_b::BIGINT AS rep_b, round(jaro_winkler_similarity(a, b), 6) AS jaro FROM pairs WHERE regexp_full_match(a || b, '[\\x00-\\x7F]*')")
 def jaro_winkler_pairs(t):
-    # DuckDB compares bytes: the comparison is on the pairs of plain ASCII
+    # DuckDB compares bytes: its SQL is on the pairs of plain ASCII; jaro_winkler_pairs_whole scores all
     pairs = lines.distinct_pairs(_norm_rows(t)).where(F.concat("a", "b").rlike(r"^[\x00-\x7F]*$"))
     return pairs.select("rep_a", "rep_b", F.round(similarity.jaro_winkler("a", "b"), 6).alias("jaro"))
 
 
+@query()
+def jaro_winkler_pairs_whole(t):
+    return lines.distinct_pairs(_norm_rows(t)).select("rep_a", "rep_b", F.round(similarity.jaro_winkler("a", "b"), 6).alias("jaro"))
+
+
 @query()
 def indel_ratio_pairs(t):
     return lines.distinct_pairs(_norm_rows(t)).select("rep_a", "rep_b", F.round(similarity.indel_ratio("a", "b"), 6).alias("lev_ratio"))
