@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from docquarry.operators.decisions import split_policy
 
 
-def pipeline(model: str = "svm", *, vocabulary: int = 1 << 16, max_share: float = 0.95) -> Pipeline:
-    """Stages from text and label to prediction; words of two characters or more, terms of at most max_share of documents."""
+def pipeline(model: str = "svm", *, vocabulary: int = (1 << 31) - 1, max_share: float = 0.95) -> Pipeline:
+    """Stages from text and label to prediction; words of two characters or more, all terms of at most max_share of documents."""
     words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False, toLowercase=True)
     pairs = NGram(n=2, inputCol="words", outputCol="pairs")
     terms = SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from docquarry import schemas
 from docquarry.functions import chess, persons, similarity
 from docquarry.functions import text as tx
-from docquarry.operators import decisions, dml, fen, lines, relational, windows
+from docquarry.operators import decisions, dml, doctypes, fen, lines, relational, windows
+from docquarry.plans import catalogue
 from docquarry.sources import backends, readers, writers
 
 
@@ -210,3 +211,18 @@ def test_entry_point_without_llm():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert "text_similarity_avg" in entry.queries()
+
+
+def test_document_types_know_all_terms_of_whole_texts(spark, tmp_path):
+    """More terms than 65,536, and labels told by what stands after 100,000 characters."""
+    own = [" ".join(f"w{i}x{j}" for j in range(900)) for i in range(60)]
+    assert sum(len(set(x.split())) * 2 - 1 for x in own) > 1 << 16
+    pad = "same " * 20_001
+    rows = [(pad + own[i] + (" alpha" if i % 2 else " beta") * 5, "a" if i % 2 else "b") for i in range(60)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    fitted = doctypes.pipeline("logistic").fit(df.withColumnRenamed("lang", "label"))
+    assert len(fitted.stages[3].vocabulary) > 1 << 16
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.QUERIES["doc_classifier"](spark, str(tmp_path)).collect()
+    names = {r.prediction: r.label for r in sorted(got, key=lambda r: r.n)}
+    assert len(got) == len(names) == 2 and set(names.values()) == {"a", "b"}
