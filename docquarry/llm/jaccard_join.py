@@ -8,17 +8,28 @@ Sizes are cut into bands that grow by a quarter; a set takes part in its own ban
 and the next, so linked sets always meet in one.  In a band whose sets differ in at
 most k shingles, the shingle domain is dealt into first-level partitions, each of
 those into ``N2`` second-level ones, and every subset of N2 - K2 second-level ones
-gives a signature: the hash of what the set has there.  At least one subset has no
-difference.  Subsets where a set has nothing are not enumerated; only a set with
-so many of those that they could be all it shares (fewer than a few in a million)
-adds its rarest shingles, by prefix filtering, which is exact for any set.
-
-Signatures travel as packed arrays, one for each block of documents and hash
-bucket, each signature once for each block.  A bucket links what shares a signature
-as a star, never as all pairs; stars are verified on the whole texts.  Where a star
-edge fails, the documents of the components it touches meet once more in the same
-groups, and the pairs between components that a parity sketch cannot rule out are
-verified too: so no link is lost, and components are exact.
+gives a signature: the hash of what the set has there.  With more than k / (K2 + 1)
+first-level partitions one of them has at most K2 second-level ones that differ, so
+one subset is equal.  Subsets where a set has nothing are not enumerated; only a set
+with so many of those that they could be all it shares adds its rarest shingles, by
+prefix filtering, which is exact for any set.
+
+1. One pass over the texts takes each set's size, two hashes, a parity sketch and the
+   signatures of the first ``COARSE`` first-level partitions.  Equal sets go on as one,
+   their least document.
+2. Coarse signatures link their holders to the least of them, as stars: linear in
+   the holders.  Most links are found here, and join documents to components.
+3. A second pass sends all signatures, packed by block and hash bucket, with the
+   documents' components.  A group of holders gives its pairs between components if it
+   is small (``SMALL``), else its members: distinct sets of members meet once, are
+   sorted by the sketch distance to one of them, and give for each document and other
+   component the ``NEAREST`` partners that the sketches cannot rule out.  Where that
+   number was not enough to find a link or to rule it out, it is raised and the
+   members meet again, until nothing is open: so no link is lost.
+4. Candidates that a sketch cannot rule out are verified on the whole texts.
+
+Groups of more than ``GROUP_ROWS`` members meet in pairs of chunks, so no task holds
+more than two chunks of one.
 
 Defined cases: null, empty and wordless texts have an empty set and their own id
 as component; null ids keep a null component and link with nothing; rows that
@@ -28,11 +39,12 @@ document; an empty table gives an empty result; further columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm import checkpoints
@@ -42,14 +54,26 @@ from docquarry.llm.components import components
 WORDS = 5
 #: Similarity 0.8 as the fraction 4/5.
 NUM, DEN = 4, 5
-N2, K2 = 2, 1
+#: Second-level partitions, and how many of them may differ in an agreeing subset.
+N2, K2 = 3, 1
+#: First-level partitions whose signatures make the coarse stars.
+COARSE = 3
 SIG_BITS = 40
 BLOCK_BYTES = 4 << 20
-#: Rows (of two integers) up to which the documents to compare again are broadcast.
+#: Holders of a signature up to which all pairs between components are taken at once.
+SMALL = 8
+#: Partners that a document gets at first in each other component of a larger group.
+NEAREST = 4
+#: Members of a group that one task compares.
+GROUP_ROWS = 8192
+#: Rows of a few integers up to which a table is broadcast.
 BROADCAST_ROWS = 100_000
 
 _LOW = tb.U((1 << SIG_BITS) - 1)
 _SUBSETS = list(combinations(range(N2), N2 - K2))
+#: Bits of a shingle hash; the others number a block's documents while they are sorted.
+_HASH_BITS = 52
+_DOCS = 1 << (64 - _HASH_BITS)
 
 
 def bands(most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,24 +96,29 @@ def shingle_sets(texts) -> tuple[np.ndarray, np.ndarray]:
     """(shingle hashes, offsets): each document's distinct shingles in ascending order."""
     data, off = tb.text_buffers(texts)
     n = len(off) - 1
+    if n > _DOCS:
+        parts = [shingle_sets(texts.slice(x, _DOCS)) for x in range(0, n, _DOCS)]
+        return np.concatenate([h for h, _ in parts]), np.r_[0, np.cumsum(np.concatenate([np.diff(o) for _, o in parts]))]
     data = tb.LOWER[data]
     starts, ends, doc = tb.word_spans(data, off, tb.SPACE)
     words = tb.span_hash(tb.prefix_sums(tb.BYTE_VALUES[data]), starts, ends)
     counts = np.bincount(doc, minlength=n)
     h = tb.window_hash(words, WORDS)
-    at = np.flatnonzero(doc[: len(h)] == doc[WORDS - 1 :]) if len(h) else np.zeros(0, np.int64)
-    h, d = h[at], doc[at]
+    inside = doc[: len(h)] == doc[WORDS - 1 :] if len(h) else np.zeros(0, bool)
+    h, d = h[inside], doc[: len(h)][inside]
     short = np.flatnonzero((counts > 0) & (counts < WORDS))
     if len(short):
         first = np.searchsorted(doc, short)
         whole = tb.span_hash(tb.prefix_sums(words), first, first + counts[short])
         h, d = np.concatenate([h, whole]), np.concatenate([d, short])
-    order = np.lexsort((h, d))
-    h, d = h[order], d[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    h, d = h[new], d[new]
-    return h, np.searchsorted(d, np.arange(n + 1))
+    # one number holds document and hash, so that a plain sort orders both
+    key = (d.astype(tb.U) << tb.U(_HASH_BITS)) | (h >> tb.U(64 - _HASH_BITS))
+    key.sort()
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    key = key[new]
+    off = np.searchsorted(key, np.arange(n, dtype=tb.U) << tb.U(_HASH_BITS))
+    return key & tb.U((1 << _HASH_BITS) - 1), np.r_[off, len(key)]
 
 
 def _sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -104,8 +133,8 @@ def set_keys(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _sums(tb.mix(h), off), _sums(tb.mix(h ^ tb.U(0x5851F42D4C957F2D)), off)
 
 
-def signatures(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set number) of all sets, for their own band and the next."""
+def signatures(h: np.ndarray, off: np.ndarray, *, coarse: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, set number) of all sets, for their own band and the next; coarse: of the first partitions only."""
     sizes = np.diff(off)
     out_sig, out_set = [], []
     if len(h) == 0:
@@ -115,32 +144,40 @@ def signatures(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(sizes)), sizes)
     for step in (0, 1):
         band = own + step
-        k = _most_apart(high)[band]
-        # some partitions more than k + 1, so that those a set leaves empty can be done without
-        n1 = -(-(k * 23 // 20 + 3) // N2)
+        spoiled = _most_apart(high)[band] // (K2 + 1)
+        # some first-level partitions more than can be spoiled, so that those where a set has too little can be done without
+        n1 = spoiled + 2 + spoiled // 10
         parts = n1 * N2
-        begin = np.cumsum(parts) - parts
+        held_parts = np.minimum(parts, COARSE * N2) if coarse else parts
+        begin = np.cumsum(held_parts) - held_parts
         salted = tb.mix(h + (band[owner].astype(tb.U) + tb.U(1)) * tb.U(0x9E3779B97F4A7C15))
-        place = begin[owner] + ((salted >> tb.U(33)) % parts[owner].astype(tb.U)).astype(np.int64)
-        total = int(parts.sum())
+        place = ((salted >> tb.U(33)) % parts.astype(tb.U)[owner]).astype(np.int64)
+        at_doc = owner
+        if coarse:
+            first = place < held_parts[owner]
+            salted, place, at_doc = salted[first], place[first], owner[first]
+        place += begin[at_doc]
+        total = int(held_parts.sum())
         value = tb.mix(salted)
         # wrapping 64-bit sums, taken as two exact sums of 32-bit halves
         lo = np.bincount(place, weights=(value & tb.U(0xFFFFFFFF)).astype(float), minlength=total)
         hi = np.bincount(place, weights=(value >> tb.U(32)).astype(float), minlength=total)
-        held = np.bincount(place, minlength=total)
-        inner = lo.astype(tb.U) + (hi.astype(tb.U) << tb.U(32))
-        part_set = np.repeat(np.arange(len(sizes)), parts)
-        first_level = np.flatnonzero((np.arange(total) - begin[part_set]) % N2 == 0)
-        for number, subset in enumerate(_SUBSETS):
-            s = sum(inner[first_level + i] * tb.U(2 * i + 3) for i in subset)
-            full = sum(held[first_level + i] for i in subset) > 0
-            at = first_level[full]
-            which = part_set[at]
-            label = ((at - begin[which]) * len(_SUBSETS) + number).astype(tb.U) + (band[which].astype(tb.U) << tb.U(40))
-            out_sig.append(tb.mix(s[full] + tb.mix(label)))
-            out_set.append(which)
-        empty = np.bincount(part_set[held == 0], minlength=len(sizes))
-        for i in np.flatnonzero((sizes > 0) & (empty >= parts - k)):
+        held = np.bincount(place, minlength=total).reshape(-1, N2) > 0
+        inner = (lo.astype(tb.U) + (hi.astype(tb.U) << tb.U(32))).reshape(-1, N2)
+        groups = held_parts // N2
+        which = np.repeat(np.arange(len(sizes)), groups)
+        number = np.arange(len(which)) - np.repeat(np.cumsum(groups) - groups, groups)
+        label = (number * len(_SUBSETS)).astype(tb.U) + (band[which].astype(tb.U) << tb.U(40))
+        for i, subset in enumerate(_SUBSETS):
+            full = held[:, list(subset)].any(axis=1)
+            s = sum(inner[full, j] * tb.U(2 * j + 3) for j in subset)
+            out_sig.append(tb.mix(s + tb.mix(label[full] + tb.U(i))))
+            out_set.append(which[full])
+        if coarse:
+            continue
+        # first-level partitions where any agreeing subset has something
+        sure = np.bincount(which[(~held).sum(axis=1) < N2 - K2], minlength=len(sizes))
+        for i in np.flatnonzero((sizes > 0) & (sure <= spoiled)):
             size = int(sizes[i])
             keep = size - -(-size * NUM // DEN) + 1
             head = h[off[i] : off[i] + keep]
@@ -149,23 +186,41 @@ def signatures(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_sig), np.concatenate(out_set)
 
 
-def _doc_keys(batches):
-    for block in tb.iter_blocks(batches, "text", BLOCK_BYTES):
-        h, off = shingle_sets(block["text"])
-        k1, k2 = set_keys(h, off)
-        yield pa.record_batch([block["id"].combine_chunks(), pa.array(np.diff(off).astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))], names=["id", "n_shingles", "k1", "k2"])
+def sketches(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets): parity of each set's shingles in as many classes as the power of two from its size on.
 
+    Bits that differ never outnumber shingles that differ, also after a sketch is
+    folded to half its length."""
+    sizes = np.diff(off)
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    begin = np.cumsum(bits) - bits
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = begin[owner] + (tb.mix(h + tb.U(77)) & (bits - 1).astype(tb.U)[owner]).astype(np.int64)
+    odd = (np.bincount(place, minlength=int(bits.sum())) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little"), np.r_[begin, int(bits.sum())] // 8
 
-def _firsts(ids: np.ndarray, h: np.ndarray, off: np.ndarray):
-    """The block's different sets, each under its least id."""
-    k1, k2 = set_keys(h, off)
-    order = np.lexsort((ids, k2, k1))
-    new = np.ones(len(order), bool)
-    new[1:] = (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])
-    keep = np.sort(order[new & (np.diff(off)[order] > 0)])
-    sizes = np.diff(off)[keep]
-    take = np.repeat(off[keep] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-    return ids[keep], h[take], np.r_[0, np.cumsum(sizes)], keep
+
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
+_FACTS = "id long, n_shingles long, k1 long, k2 long, sketch binary, coarse array<long>"
+
+
+def _facts(batches):
+    """What is known of each row's set."""
+    for block in tb.iter_blocks(batches, "text", BLOCK_BYTES):
+        h, off = shingle_sets(block["text"].combine_chunks())
+        k1, k2 = set_keys(h, off)
+        sig, which = signatures(h, off, coarse=True)
+        order = np.argsort(which, kind="stable")
+        coarse = pa.ListArray.from_arrays(pa.array(np.searchsorted(which[order], np.arange(len(off))), pa.int32()), pa.array(sig[order].view(np.int64)))
+        raw, cut = sketches(h, off)
+        raw = raw.tobytes()
+        held = pa.array([raw[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())], pa.binary())
+        yield pa.record_batch([block["id"].combine_chunks(), pa.array(np.diff(off)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), held, coarse], names=["id", "n_shingles", "k1", "k2", "sketch", "coarse"])
 
 
 def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,72 +231,121 @@ def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return a[new], b[new]
 
 
-def _star(sig: np.ndarray, ids: np.ndarray):
-    """Of entries sorted by signature: the least id of each entry's group, and where groups begin."""
-    edge = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-    least = np.minimum.reduceat(ids, edge)
-    return np.repeat(least, np.diff(np.r_[edge, len(sig)])), edge
-
-
 def _emit_signatures(n_buckets: int):
+    """Rows (bucket, payload): a block's signatures there, ascending, with their documents and components."""
+
     def run(batches):
         for block in tb.iter_blocks(batches, "text", BLOCK_BYTES):
-            ids = np.asarray(block["id"])
-            h, off = shingle_sets(block["text"])
-            ids, h, off, _ = _firsts(ids, h, off)
+            ids, comp = np.asarray(block["id"]), np.asarray(block["comp"])
+            h, off = shingle_sets(block["text"].combine_chunks())
             sig, which = signatures(h, off)
             if len(sig) == 0:
                 continue
             bucket = ((sig >> tb.U(48)) * tb.U(n_buckets)) >> tb.U(16)
-            key = (bucket << tb.U(SIG_BITS)) | (sig & tb.U((1 << SIG_BITS) - 1))
+            key = (bucket << tb.U(SIG_BITS)) | (sig & _LOW)
             order = np.argsort(key)
             key, which = key[order], which[order]
-            hub, edge = _star(key, ids[which])
-            a, b = _unique_pairs(ids[which][hub != ids[which]], hub[hub != ids[which]])
-            rows = [(-1, np.stack([a, b]).astype("<i8").tobytes())] if len(a) else []
-            # one entry for each signature: its least document
-            key, hub = key[edge], hub[edge]
-            place = np.searchsorted(np.sort(ids), hub)
-            ids = np.sort(ids)
             cuts = np.searchsorted(key, np.arange(n_buckets + 1).astype(tb.U) << tb.U(SIG_BITS))
-            for bucket, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
+            rows = []
+            for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
                 if y > x:
-                    used, local = np.unique(place[x:y], return_inverse=True)
+                    used, local = np.unique(which[x:y], return_inverse=True)
                     kind = "<u2" if len(used) < 1 << 16 else "<u4"
-                    rows.append((bucket, b"".join([len(used).to_bytes(4, "little"), ids[used].astype("<i8").tobytes(), local.astype(kind).tobytes(), tb.pack(key[x:y] & tb.U((1 << SIG_BITS) - 1))])))
+                    head = np.array([len(used), y - x], "<u4").tobytes()
+                    rows.append((b, b"".join([head, ids[used].astype("<i8").tobytes(), comp[used].astype("<i8").tobytes(), local.astype(kind).tobytes(), tb.pack(key[x:y] & _LOW)])))
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "payload"])
 
     return run
 
 
-def _open(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures, ids) of a payload."""
-    n = int.from_bytes(raw[:4], "little")
-    ids = np.frombuffer(raw, "<i8", n, 4)
-    width = 2 if n < 1 << 16 else 4
-    body = 4 + 8 * n
-    # what follows: count x width of places, then 9 + (count - 1) x w of signatures; count follows from trying w
-    for w in range(1, 9):
-        count, rest = divmod(len(raw) - body - 9 + w, width + w)
-        if rest == 0 and count > 0 and raw[body + count * width] == w and len(raw) == body + count * width + 9 + (count - 1) * w:
-            place = np.frombuffer(raw, f"<u{width}", count, body)
-            if int(place.max()) < n:
-                return tb.unpack(raw[body + count * width :]), ids[place]
-    raise ValueError("payload cannot be read")
-
-
-def _stars(key, table):
-    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    if key[0].as_py() < 0:
-        got = [np.frombuffer(p.as_py(), "<i8").reshape(2, -1) for p in table["payload"]]
-        a, b = _unique_pairs(*np.concatenate(got, axis=1))
-    else:
-        sig, ids = map(np.concatenate, zip(*(_open(p.as_py()) for p in table["payload"])))
-        order = np.argsort(sig, kind="stable")
-        sig, ids = sig[order], ids[order]
-        hub, _ = _star(sig, ids)
-        a, b = _unique_pairs(ids[ids != hub], hub[ids != hub])
-    return pa.Table.from_arrays([pa.array(a), pa.array(b)], schema=kind)
+def _open(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, ids, components) of a payload."""
+    n, count = np.frombuffer(raw, "<u4", 2).tolist()
+    ids, comp = np.frombuffer(raw, "<i8", 2 * n, 8).reshape(2, n)
+    kind = np.dtype("<u2" if n < 1 << 16 else "<u4")
+    at = 8 + 16 * n
+    place = np.frombuffer(raw, kind, count, at)
+    return tb.unpack(raw[at + count * kind.itemsize :]), ids[place], comp[place]
+
+
+_MET = pa.schema([("whole", pa.bool_()), ("a", pa.int64()), ("b", pa.int64())])
+
+
+def _meet(key, table):
+    """Of a bucket's groups with several components: the pairs of small ones, and (group, member) of others, flagged ``whole``."""
+    sig, ids, comp = map(np.concatenate, zip(*(_open(p.as_py()) for p in table["payload"])))
+    order = np.argsort(sig, kind="stable")
+    sig, ids, comp = sig[order], ids[order], comp[order]
+    edge = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+    count = np.diff(np.r_[edge, len(sig)])
+    mixed = np.minimum.reduceat(comp, edge) < np.maximum.reduceat(comp, edge)
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for size in range(2, SMALL + 1):
+        begin = edge[mixed & (count == size)]
+        for x, y in combinations(range(size), 2):
+            apart = comp[begin + x] != comp[begin + y]
+            p, q = ids[begin + x][apart], ids[begin + y][apart]
+            out_a.append(np.maximum(p, q))
+            out_b.append(np.minimum(p, q))
+    a, b = _unique_pairs(np.concatenate(out_a), np.concatenate(out_b))
+    names, members, seen = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], set()
+    for x, size in zip(edge[mixed & (count > SMALL)].tolist(), count[mixed & (count > SMALL)].tolist()):
+        group = np.unique(ids[x : x + size])
+        name = int(tb.mix(tb.mix(group.view(tb.U)).sum(dtype=tb.U, keepdims=True)).view(np.int64)[0])
+        if name not in seen:
+            seen.add(name)
+            names.append(np.full(len(group), name))
+            members.append(group)
+    names, members = np.concatenate(names), np.concatenate(members)
+    whole = np.r_[np.zeros(len(a), bool), np.ones(len(names), bool)]
+    return pa.Table.from_arrays([pa.array(whole), pa.array(np.r_[a, names]), pa.array(np.r_[b, members])], schema=_MET)
+
+
+def _near(size_a, size_b, apart):
+    """Whether sets of these sizes that differ in at least so many shingles may be linked."""
+    return apart * (DEN + NUM) <= (size_a + size_b) * (DEN - NUM)
+
+
+def _between(nearest: int):
+    """(a, b, more): partners of a part's members in other components; more: there are further ones."""
+
+    def run(key, table):
+        part = np.asarray(table["part"])
+        order = np.argsort(part, kind="stable")
+        table = table.take(pa.array(order))
+        part, ids, comp, sizes = (np.asarray(table[c]) for c in ("part", "id", "comp", "n_shingles"))
+        sketch = [np.frombuffer(x.as_py(), "<u8") for x in table["sketch"]]
+        edge = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)]
+        out: list[tuple[int, int, bool]] = []
+        for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            if comp[x:y].min() == comp[x:y].max():
+                continue
+            words = min(len(s) for s in sketch[x:y])
+            bits = np.stack([_folded(s, words) for s in sketch[x:y]])
+            # by distance to one member: by the triangle inequality, only those with like distances can be near
+            far = np.bitwise_count(bits ^ bits[0]).sum(axis=1, dtype=np.int64)
+            turn = np.argsort(far, kind="stable")
+            far, bits, i, c, s = far[turn], bits[turn], ids[x:y][turn], comp[x:y][turn], sizes[x:y][turn]
+            stop = np.searchsorted(far, far + 2 * int(s.max()) * (DEN - NUM) // (DEN + NUM), side="right")
+            for j in range(len(i) - 1):
+                other = np.flatnonzero(c[j + 1 : stop[j]] != c[j]) + j + 1
+                if len(other) == 0:
+                    continue
+                apart = np.bitwise_count(bits[other] ^ bits[j]).sum(axis=1, dtype=np.int64)
+                near = _near(s[other], s[j], apart)
+                if not near.any():
+                    continue
+                other, apart = other[near], apart[near]
+                rank = np.lexsort((apart, c[other]))
+                other = other[rank]
+                head = np.flatnonzero(np.r_[True, c[other][1:] != c[other][:-1]])
+                size = np.diff(np.r_[head, len(other)])
+                for h, n in zip(head.tolist(), size.tolist()):
+                    out += [(max(int(i[j]), k), min(int(i[j]), k), n > nearest) for k in i[other[h : h + min(n, nearest)]].tolist()]
+        a, b, more = zip(*out) if out else ((), (), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], names=["a", "b", "more"])
+
+    return run
 
 
 def _squeeze(batches):
@@ -253,12 +357,24 @@ def _squeeze(batches):
         yield pa.record_batch([block["id"].combine_chunks(), pa.array([press.compress(x.as_py().encode()) for x in block["text"]], pa.binary())], names=["id", "text"])
 
 
+def _unlike(batches):
+    """Pairs (a, b) whose sketches cannot rule out a link."""
+    for batch in batches:
+        size_a, size_b = np.asarray(batch["size_a"]), np.asarray(batch["size_b"])
+        apart = np.empty(batch.num_rows, np.int64)
+        for i, (x, y) in enumerate(zip(batch["sketch_a"], batch["sketch_b"])):
+            x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+            words = min(len(x), len(y))
+            apart[i] = np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum(dtype=np.int64)
+        yield batch.select(["a", "b"]).filter(pa.array(_near(size_a, size_b, apart)))
+
+
 def _verify(batches):
     """(a, b, linked) of pairs with their texts."""
     import zstandard
 
     press = zstandard.ZstdDecompressor()
-    for block in tb.iter_blocks(batches, "text_a", BLOCK_BYTES // 8):
+    for block in tb.iter_blocks(batches, "size", BLOCK_BYTES // 4, sized=True):
         n = block.num_rows
         # a hub's text comes with each of its pairs, and is taken apart once
         seen: dict[bytes, int] = {}
@@ -274,104 +390,53 @@ def _verify(batches):
         yield pa.record_batch([block["a"].combine_chunks(), block["b"].combine_chunks(), pa.array(linked)], names=["a", "b", "linked"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, linked) of pairs (a, b), by the whole texts (id, text)."""
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    return checkpoints.cut(both.mapInArrow(_verify, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked")))
-
-
-def _sketch(h: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
-    """Parity of each set's shingles in as many classes as the power of two from its size on.
-
-    Bits that differ never outnumber shingles that differ, also after a sketch is
-    folded to half its length."""
-    mixed = tb.mix(h + tb.U(77))
-    out = []
-    for x, y in zip(off[:-1], off[1:]):
-        bits = max(64, 1 << int(y - x - 1).bit_length())
-        odd = np.bincount((mixed[x:y] & tb.U(bits - 1)).astype(np.int64), minlength=bits) & 1
-        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8"))
-    return out
+def _small(df: DataFrame) -> DataFrame:
+    """df, broadcast if its rows are few; it is counted, so it should be cut before."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
-    while len(sketch) > words:
-        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
-    return sketch
+def verified(pairs: DataFrame, facts: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, linked) of distinct pairs (a, b) of ids that the sketches do not rule out, by the whole texts (id, text)."""
+    of = lambda c: facts.select(F.col("id").alias(c), F.col("n_shingles").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    open_ = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
+    open_ = checkpoints.cut(open_.mapInArrow(_unlike, "a long, b long").distinct())
+    used = checkpoints.cut(open_.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    packed = texts.join(_small(used), "id", "left_semi").mapInArrow(_squeeze, "id long, text binary")
+    left = open_.join(packed.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = left.join(packed.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = both.select("a", "b", "text_a", "text_b", (F.octet_length("text_a") + F.octet_length("text_b")).cast("long").alias("size"))
+    return checkpoints.cut(both.mapInArrow(_verify, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked")))
 
 
-def _emit_residual(n_buckets: int):
-    """Rows for the second meeting: the signatures of a block in a bucket with the sets' ids, components, sizes and sketches."""
+def buckets(spark: SparkSession) -> int:
+    """Hash buckets: as many as the cluster is set to shuffle into."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(batches):
-        for block in tb.iter_blocks(batches, "text", BLOCK_BYTES):
-            ids, comp = np.asarray(block["id"]), np.asarray(block["comp"])
-            h, off = shingle_sets(block["text"])
-            ids, h, off, keep = _firsts(ids, h, off)
-            comp = comp[keep]
-            if len(ids) == 0:
-                continue
-            sig, which = signatures(h, off)
-            sizes, sketch = np.diff(off), _sketch(h, off)
-            bucket = (((sig >> tb.U(48)) * tb.U(n_buckets)) >> tb.U(16)).astype(np.int32)
-            order = np.lexsort((sig & _LOW, bucket))
-            bucket, sig, which = bucket[order], sig[order] & _LOW, which[order]
-            cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
-            rows = []
-            for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
-                if y > x:
-                    used, local = np.unique(which[x:y], return_inverse=True)
-                    kind = "<u2" if len(used) < 1 << 16 else "<u4"
-                    rows.append((b, tb.pack(sig[x:y]), local.astype(kind).tobytes(), ids[used].astype("<i8").tobytes(), comp[used].astype("<i8").tobytes(), sizes[used].astype("<i8").tobytes(), b"".join(sketch[i].tobytes() for i in used)))
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 7))], names=["bucket", "sig", "place", "ids", "comp", "sizes", "sketch"])
 
-    return run
+def _coarse_stars(facts: DataFrame) -> DataFrame:
+    """Pairs (a, b): a document, and the least that has one of its coarse signatures."""
+    held = facts.select("id", F.explode("coarse").alias("sig"))
+    hubs = checkpoints.cut(held.groupBy("sig").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sig", "b"))
+    return held.join(hubs, "sig").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
 
-def _between(key, table):
-    """Pairs of different components in one group that their sketches cannot rule out."""
-    sig, place, ids, comp, sizes, sketch = [], [], [], [], [], []
-    base = 0
-    for row in table.to_pylist():
-        sig.append(tb.unpack(row["sig"]))
-        ids.append(np.frombuffer(row["ids"], "<i8"))
-        place.append(np.frombuffer(row["place"], "<u2" if len(ids[-1]) < 1 << 16 else "<u4").astype(np.int64) + base)
-        comp.append(np.frombuffer(row["comp"], "<i8"))
-        sizes.append(np.frombuffer(row["sizes"], "<i8"))
-        words = np.maximum(1, [1 << max(0, int(x - 1).bit_length() - 6) for x in sizes[-1]])
-        sketch += np.split(np.frombuffer(row["sketch"], "<u8"), np.cumsum(words)[:-1])
-        base += len(ids[-1])
-    sig, place, ids, comp, sizes = map(np.concatenate, (sig, place, ids, comp, sizes))
-    order = np.argsort(sig, kind="stable")
-    sig, place = sig[order], place[order]
-    edge = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1], True])
-    # groups of more than one component
-    least, most = np.minimum.reduceat(comp[place], edge[:-1]), np.maximum.reduceat(comp[place], edge[:-1])
-    seen: set[bytes] = set()
-    out_a, out_b = [], []
-    for i in np.flatnonzero(least < most):
-        group = np.unique(place[edge[i] : edge[i + 1]])
-        if (mark := group.tobytes()) in seen:
-            continue
-        seen.add(mark)
-        words = min(len(sketch[p]) for p in group)
-        folded = np.stack([_folded(sketch[p], words) for p in group])
-        for j, p in enumerate(group[:-1]):
-            other = np.flatnonzero(comp[group[j + 1 :]] != comp[p]) + j + 1
-            if len(other):
-                rest = group[other]
-                apart = np.bitwise_count(folded[other] ^ folded[j]).sum(axis=1)
-                near = rest[apart.astype(np.int64) * (DEN + NUM) <= (sizes[rest] + sizes[p]) * (DEN - NUM)]
-                out_a.append(np.maximum(ids[near], ids[p]))
-                out_b.append(np.minimum(ids[near], ids[p]))
-    a, b = _unique_pairs(np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64),) * 2
-    return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
+def _with_label(df: DataFrame, labels: DataFrame, column: str, to: str) -> DataFrame:
+    """df with the component of a column's documents; those without a link are their own."""
+    named = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
+    return df.join(named, df[column] == named["_node"], "left").withColumn(to, F.coalesce("_label", column)).drop("_node", "_label")
 
 
-def buckets(spark: SparkSession) -> int:
-    """Hash buckets: as many as the cluster is set to shuffle into."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _parts(members: DataFrame) -> DataFrame:
+    """(part, id) of (group, id): a group is one part, or all pairs of its chunks if it is large."""
+    large = members.groupBy("group").count().where(F.col("count") > GROUP_ROWS)
+    large = checkpoints.cut(large.select(F.col("group").alias("_group"), F.ceil(F.col("count") / (GROUP_ROWS / 2)).cast("long").alias("chunks")))
+    if large.isEmpty():
+        return members.select(F.col("group").alias("part"), "id")
+    both = members.join(_small(large), members["group"] == large["_group"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    mine: Column = F.pmod(F.xxhash64("id"), F.col("chunks"))
+    each = both.select("group", "id", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("theirs"), "chunks")
+    name = F.when(F.col("chunks") == 1, F.col("group")).otherwise(F.xxhash64("group", F.least("mine", "theirs"), F.greatest("mine", "theirs")))
+    return each.select(name.alias("part"), "id")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -380,37 +445,40 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     n = buckets(spark)
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     texts = rows.where("id is not null and text is not null")
-    packed = texts.mapInArrow(_squeeze, "id long, text binary")
-    keyed = checkpoints.cut(rows.mapInArrow(_doc_keys, "id long, n_shingles long, k1 long, k2 long"))
-    real = keyed.where("id is not null and n_shingles > 0")
-    first = real.groupBy("k1", "k2", "n_shingles").agg(F.min("id").alias("first"))
-    canon = checkpoints.cut(real.join(first, ["k1", "k2", "n_shingles"]).select("id", "first").distinct())
-    stars = texts.mapInArrow(_emit_signatures(n), "bucket int, payload binary").groupBy("bucket").applyInArrow(_stars, "a long, b long")
-    pairs = _canonical(stars, canon)
-    checked = verified(pairs, packed)
-    links = checked.where("linked").select("a", "b")
-    # copies, and ids that stand for several sets
-    same = canon.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    labels = components(links.unionByName(same))
-    failed = checked.where("not linked")
-    label_of = lambda df, c: df.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")), c, "left").withColumn(f"l{c}", F.coalesce(f"l{c}", c))
-    open_pairs = label_of(label_of(failed, "a"), "b").where("la <> lb")
-    touched = checkpoints.cut(open_pairs.select(F.explode(F.array("la", "lb")).alias("label")).distinct())
-    if not touched.isEmpty():
-        members = labels.join(touched, "label").select(F.col("node").alias("id"), F.col("label").alias("comp"))
-        alone = touched.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("id"), F.col("label").alias("comp"))
-        members = members.unionByName(alone)
-        members = checkpoints.cut(members.join(canon.where("id = first").select("id"), "id", "left_semi").distinct())
-        # few large buckets: a sketch travels to each of them
-        few = max(1, n // 2)
-        again = texts.join(F.broadcast(members) if members.count() <= BROADCAST_ROWS else members, "id").select("id", "text", "comp")
-        kinds = "bucket int, sig binary, place binary, ids binary, comp binary, sizes binary, sketch binary"
-        more = again.mapInArrow(_emit_residual(few), kinds).groupBy("bucket").applyInArrow(_between, "a long, b long")
-        more = _canonical(more, canon).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        found = verified(more, packed).where("linked").select("a", "b")
-        if not found.isEmpty():
-            labels = components(links.unionByName(same).unionByName(found))
-    out = keyed.join(labels, keyed["id"] == labels["node"], "left")
+    all_facts = checkpoints.cut(rows.mapInArrow(_facts, _FACTS))
+    real = all_facts.where("id is not null and n_shingles > 0")
+    # sets that several documents have: the least stands for all
+    copied = checkpoints.cut(real.groupBy("k1", "k2", "n_shingles").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    keys = ["k1", "k2", "n_shingles"]
+    known = real.join(_small(copied), keys, "left")
+    facts = checkpoints.cut(known.where("first is null or id = first").select("id", "n_shingles", "sketch", "coarse"))
+    same = real.select("id", *keys).join(_small(copied), keys).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    same = checkpoints.cut(same.distinct())
+    # an id that repeats may be a copy with one text and stand for another
+    copies = _small(checkpoints.cut(same.select(F.col("a").alias("id")).distinct().join(facts.select("id"), "id", "left_anti")))
+    checked = verified(_coarse_stars(facts), facts, texts)
+    links = [same, checked.where("linked").select("a", "b")]
+    labels = components(reduce(DataFrame.unionByName, links))
+    single = _with_label(texts.join(copies, "id", "left_anti"), _small(labels), "id", "comp")
+    met = single.select("id", "text", "comp").mapInArrow(_emit_signatures(n), "bucket int, payload binary")
+    met = checkpoints.cut(met.groupBy("bucket").applyInArrow(_meet, "whole boolean, a long, b long").distinct())
+    members = _parts(met.where("whole").select(F.col("a").alias("group"), F.col("b").alias("id")))
+    members = members.join(facts.select("id", "n_shingles", "sketch"), "id")
+    pairs, nearest = met.where("not whole").select("a", "b"), NEAREST
+    while True:
+        grouped = _with_label(members, labels, "id", "comp").withColumn("bucket", F.pmod("part", F.lit(4 * n)))
+        close = checkpoints.cut(grouped.groupBy("bucket").applyInArrow(_between(nearest), "a long, b long, more boolean"))
+        pairs = pairs.unionByName(close.select("a", "b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        found = verified(pairs, facts, texts)
+        checked = checked.unionByName(found)
+        if not found.where("linked").isEmpty():
+            links.append(found.where("linked").select("a", "b"))
+            labels = components(reduce(DataFrame.unionByName, links))
+        more = _with_label(_with_label(close.where("more").select("a", "b").distinct(), labels, "a", "la"), labels, "b", "lb")
+        if more.where("la <> lb").isEmpty():
+            break
+        pairs, nearest = pairs.limit(0), nearest * 8
+    out = all_facts.select("id", "n_shingles").join(labels, F.col("id") == labels["node"], "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("label", "id").alias("component_id"))
 
 
@@ -418,23 +486,19 @@ def keep_firsts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """One document of each group of near duplicates, the one with the least id, with all its columns.
 
     Of rows that repeat an id, one stays; rows without an id all stay."""
-    near = checkpoints.cut(near_duplicates(docs, id_col=id_col, text_col=text_col).where(F.col(id_col).isNotNull()))
-    gone = near.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    repeated = near.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_twice"))
-    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS * 10 else df
-    ident = docs[id_col].cast("long")
-    out = docs.join(small(gone), ident == F.col("_gone"), "left_anti")
-    if repeated.isEmpty():
-        return out
-    once = out.join(repeated, ident == F.col("_twice"), "left_semi").dropDuplicates([id_col])
-    return out.join(repeated, ident == F.col("_twice"), "left_anti").unionByName(once)
-
-
-def _canonical(pairs: DataFrame, canon: DataFrame) -> DataFrame:
-    """Distinct pairs of the first documents of different sets, the larger id first."""
-    first = lambda c: canon.select(F.col("id").alias(c), F.col("first").alias(f"{c}1"))
-    out = pairs.distinct().join(first("a"), "a").join(first("b"), "b")
-    return out.select(F.greatest("a1", "b1").alias("a"), F.least("a1", "b1").alias("b")).where("a <> b").distinct()
+    names = docs.columns
+    # names of the caller may clash or repeat: they travel as positions
+    docs = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    ident, text = (f"c{names.index(c)}" for c in (id_col, text_col))
+    near = checkpoints.cut(near_duplicates(docs, id_col=ident, text_col=text).where(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), "component_id"))
+    gone = checkpoints.cut(near.where("id <> component_id").select(F.col("id").alias("gone")).distinct())
+    repeated = checkpoints.cut(near.groupBy("id").count().where("count > 1").select(F.col("id").alias("twice")))
+    of = docs[ident].cast("long")
+    out = docs.join(_small(gone), of == F.col("gone"), "left_anti")
+    if not repeated.isEmpty():
+        once = out.join(repeated, of == F.col("twice"), "left_semi").dropDuplicates([ident])
+        out = out.join(repeated, of == F.col("twice"), "left_anti").unionByName(once)
+    return out.toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,15 +120,15 @@ def text_buffers(col) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def iter_blocks(batches: Iterator[pa.RecordBatch], text: str, budget: int = 8 << 20) -> Iterator[pa.Table]:
-    """The rows in order, in tables of about ``budget`` bytes of text (one row at least)."""
+def iter_blocks(batches: Iterator[pa.RecordBatch], text: str, budget: int = 8 << 20, *, sized: bool = False) -> Iterator[pa.Table]:
+    """The rows in order, in tables of about ``budget`` bytes of text (one row at least); sized: the column tells the bytes."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         if batch.num_rows == 0:
             continue
         col = batch.column(batch.schema.get_field_index(text))
-        lens = np.asarray(pc.fill_null(pc.binary_length(col), 0)).astype(np.int64)
+        lens = np.asarray(pc.fill_null(col if sized else pc.binary_length(col), 0)).astype(np.int64)
         at = 0
         sums = np.cumsum(lens)
         while at < batch.num_rows:

@@ -97,6 +97,25 @@ def test_near_duplicates(docs, rows, empty):
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_in_large_groups(spark, monkeypatch):
+    """Groups that meet in chunks, one partner at a time, lose no link."""
+    import random
+
+    monkeypatch.setattr(jaccard_join, "SMALL", 2)
+    monkeypatch.setattr(jaccard_join, "NEAREST", 1)
+    monkeypatch.setattr(jaccard_join, "GROUP_ROWS", 12)
+    rng = random.Random(5)
+    seeds = [[f"s{k}w{i}" for i in range(70)] for k in range(3)]
+    rows = []
+    for i in range(120):
+        w = list(seeds[i % 3])
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            w[rng.randrange(70)] = f"edit{rng.randrange(10**6)}"
+        rows.append((i, " ".join([*w, *seeds[0][:20]] if i % 2 else w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert by_id(jaccard_join.near_duplicates(df), "doc_id", "n_shingles", "component_id") == brute.near(rows)
+
+
 def test_near_duplicates_keep_one(spark, docs, rows, with_null):
     twice = with_null.unionByName(docs.where("doc_id = 8"))
     kept = jaccard_join.keep_firsts(twice)
