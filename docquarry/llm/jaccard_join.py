@@ -21,11 +21,11 @@ prefix filtering, which is exact for any set.
    the holders.  Most links are found here, and join documents to components.
 3. A second pass sends all signatures, packed by block and hash bucket, with the
    documents' components.  A group of holders gives its pairs between components if it
-   is small (``SMALL``), else its members: distinct sets of members meet once, are
-   sorted by the sketch distance to one of them, and give for each document and other
-   component the ``NEAREST`` partners that the sketches cannot rule out.  Where that
-   number was not enough to find a link or to rule it out, it is raised and the
-   members meet again, until nothing is open: so no link is lost.
+   is small (``SMALL``), else its members under the least of them.  What has the same
+   least member meets once, is sorted by the sketch distance to one of them, and gives
+   for each two components the ``NEAREST`` pairs that the sketches cannot rule out.
+   Where that number was not enough to find a link or to rule it out, it is raised and
+   the members meet again, until nothing is open: so no link is lost.
 4. Candidates that a sketch cannot rule out are verified on the whole texts.
 
 Groups of more than ``GROUP_ROWS`` members meet in pairs of chunks, so no task holds
@@ -62,7 +62,7 @@ SIG_BITS = 40
 BLOCK_BYTES = 4 << 20
 #: Holders of a signature up to which all pairs between components are taken at once.
 SMALL = 8
-#: Partners that a document gets at first in each other component of a larger group.
+#: Pairs that two components give at first where they meet in larger groups.
 NEAREST = 4
 #: Members of a group that one task compares.
 GROUP_ROWS = 8192
@@ -187,12 +187,12 @@ def signatures(h: np.ndarray, off: np.ndarray, *, coarse: bool = False) -> tuple
 
 
 def sketches(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets): parity of each set's shingles in as many classes as the power of two from its size on.
+    """(bytes, offsets): parity of each set's shingles in as many classes as the power of two from twice its size on.
 
     Bits that differ never outnumber shingles that differ, also after a sketch is
     folded to half its length."""
     sizes = np.diff(off)
-    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    bits = np.maximum(64, 2 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
     begin = np.cumsum(bits) - bits
     owner = np.repeat(np.arange(len(sizes)), sizes)
     place = begin[owner] + (tb.mix(h + tb.U(77)) & (bits - 1).astype(tb.U)[owner]).astype(np.int64)
@@ -272,7 +272,7 @@ _MET = pa.schema([("whole", pa.bool_()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def _meet(key, table):
-    """Of a bucket's groups with several components: the pairs of small ones, and (group, member) of others, flagged ``whole``."""
+    """Of a bucket's groups with several components: the pairs of small ones, and (least member, member) of others, flagged ``whole``."""
     sig, ids, comp = map(np.concatenate, zip(*(_open(p.as_py()) for p in table["payload"])))
     order = np.argsort(sig, kind="stable")
     sig, ids, comp = sig[order], ids[order], comp[order]
@@ -288,17 +288,12 @@ def _meet(key, table):
             out_a.append(np.maximum(p, q))
             out_b.append(np.minimum(p, q))
     a, b = _unique_pairs(np.concatenate(out_a), np.concatenate(out_b))
-    names, members, seen = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], set()
-    for x, size in zip(edge[mixed & (count > SMALL)].tolist(), count[mixed & (count > SMALL)].tolist()):
-        group = np.unique(ids[x : x + size])
-        name = int(tb.mix(tb.mix(group.view(tb.U)).sum(dtype=tb.U, keepdims=True)).view(np.int64)[0])
-        if name not in seen:
-            seen.add(name)
-            names.append(np.full(len(group), name))
-            members.append(group)
-    names, members = np.concatenate(names), np.concatenate(members)
-    whole = np.r_[np.zeros(len(a), bool), np.ones(len(names), bool)]
-    return pa.Table.from_arrays([pa.array(whole), pa.array(np.r_[a, names]), pa.array(np.r_[b, members])], schema=_MET)
+    # a larger group under its least member, with all others that are in a group of that one
+    large = np.repeat(mixed & (count > SMALL), count)
+    least, member = _unique_pairs(np.repeat(np.minimum.reduceat(ids, edge), count)[large], ids[large])
+    whole = np.r_[np.zeros(len(a), bool), np.ones(len(least), bool)]
+    a, b = np.r_[a, least], np.r_[b, member]
+    return pa.Table.from_arrays([pa.array(whole), pa.array(a), pa.array(b)], schema=_MET)
 
 
 def _near(size_a, size_b, apart):
@@ -306,17 +301,33 @@ def _near(size_a, size_b, apart):
     return apart * (DEN + NUM) <= (size_a + size_b) * (DEN - NUM)
 
 
+def _nearest(rows: np.ndarray, nearest: int) -> np.ndarray:
+    """Of rows (component, other component, apart, a, b, more): the nearest of each two components; more: there were others."""
+    rows = rows[np.lexsort(rows.T[4::-1])]
+    same = (rows[1:, :5] == rows[:-1, :5]).all(axis=1)
+    more = np.maximum.accumulate(np.where(rows[:, 5] > 0, np.arange(len(rows)), -1))
+    head = np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]
+    begin = np.flatnonzero(head)
+    end = np.r_[begin[1:], len(rows)]
+    rows[:, 5] = np.repeat(more[end - 1] >= begin, end - begin)
+    rows = rows[np.r_[True, ~same]]
+    head = np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]
+    begin = np.flatnonzero(head)
+    size = np.diff(np.r_[begin, len(rows)])
+    rank = np.arange(len(rows)) - np.repeat(begin, size)
+    rows[:, 5] |= np.repeat(size > nearest, size)
+    return rows[rank < nearest]
+
+
 def _between(nearest: int):
-    """(a, b, more): partners of a part's members in other components; more: there are further ones."""
+    """(a, b, more): the nearest pairs between any two components of the bucket's parts; more: there are further ones."""
 
     def run(key, table):
-        part = np.asarray(table["part"])
-        order = np.argsort(part, kind="stable")
-        table = table.take(pa.array(order))
+        table = table.take(pa.array(np.argsort(np.asarray(table["part"]), kind="stable")))
         part, ids, comp, sizes = (np.asarray(table[c]) for c in ("part", "id", "comp", "n_shingles"))
         sketch = [np.frombuffer(x.as_py(), "<u8") for x in table["sketch"]]
         edge = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)]
-        out: list[tuple[int, int, bool]] = []
+        held, waiting = [np.zeros((0, 6), np.int64)], 0
         for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
             if comp[x:y].min() == comp[x:y].max():
                 continue
@@ -336,14 +347,14 @@ def _between(nearest: int):
                 if not near.any():
                     continue
                 other, apart = other[near], apart[near]
-                rank = np.lexsort((apart, c[other]))
-                other = other[rank]
-                head = np.flatnonzero(np.r_[True, c[other][1:] != c[other][:-1]])
-                size = np.diff(np.r_[head, len(other)])
-                for h, n in zip(head.tolist(), size.tolist()):
-                    out += [(max(int(i[j]), k), min(int(i[j]), k), n > nearest) for k in i[other[h : h + min(n, nearest)]].tolist()]
-        a, b, more = zip(*out) if out else ((), (), ())
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], names=["a", "b", "more"])
+                pairs = [np.maximum(c[other], c[j]), np.minimum(c[other], c[j]), apart, np.maximum(i[other], i[j]), np.minimum(i[other], i[j]), np.zeros_like(apart)]
+                held.append(np.stack(pairs, axis=1))
+                waiting += len(apart)
+                if waiting > 1 << 20:
+                    held, waiting = [_nearest(np.concatenate(held), nearest)], 0
+        rows = np.concatenate(held)
+        rows = _nearest(rows, nearest) if len(rows) else rows
+        return pa.table([pa.array(rows[:, 3]), pa.array(rows[:, 4]), pa.array(rows[:, 5] > 0)], names=["a", "b", "more"])
 
     return run
 
@@ -466,7 +477,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = members.join(facts.select("id", "n_shingles", "sketch"), "id")
     pairs, nearest = met.where("not whole").select("a", "b"), NEAREST
     while True:
-        grouped = _with_label(members, labels, "id", "comp").withColumn("bucket", F.pmod("part", F.lit(4 * n)))
+        grouped = _with_label(members, labels, "id", "comp").withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(4 * n)))
         close = checkpoints.cut(grouped.groupBy("bucket").applyInArrow(_between(nearest), "a long, b long, more boolean"))
         pairs = pairs.unionByName(close.select("a", "b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
         found = verified(pairs, facts, texts)
