@@ -320,7 +320,7 @@ def _nearest(rows: np.ndarray, nearest: int) -> np.ndarray:
 
 
 def _between(nearest: int):
-    """(a, b, more): the nearest pairs between any two components of the bucket's parts; more: there are further ones."""
+    """The nearest pairs (a, b) between any two components of the bucket's parts; more: there are further ones."""
 
     def run(key, table):
         table = table.take(pa.array(np.argsort(np.asarray(table["part"]), kind="stable")))
@@ -354,7 +354,8 @@ def _between(nearest: int):
                     held, waiting = [_nearest(np.concatenate(held), nearest)], 0
         rows = np.concatenate(held)
         rows = _nearest(rows, nearest) if len(rows) else rows
-        return pa.table([pa.array(rows[:, 3]), pa.array(rows[:, 4]), pa.array(rows[:, 5] > 0)], names=["a", "b", "more"])
+        bucket = pa.array(np.full(len(rows), key[0].as_py()), pa.int64())
+        return pa.table([bucket, *(pa.array(rows[:, i]) for i in (3, 4)), pa.array(rows[:, 5] > 0), *(pa.array(rows[:, i]) for i in (0, 1))], names=["bucket", "a", "b", "more", "comp_a", "comp_b"])
 
     return run
 
@@ -474,21 +475,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     met = single.select("id", "text", "comp").mapInArrow(_emit_signatures(n), "bucket int, payload binary")
     met = checkpoints.cut(met.groupBy("bucket").applyInArrow(_meet, "whole boolean, a long, b long").distinct())
     members = _parts(met.where("whole").select(F.col("a").alias("group"), F.col("b").alias("id")))
-    members = members.join(facts.select("id", "n_shingles", "sketch"), "id")
+    members = members.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(4 * n)))
+    members = checkpoints.cut(_with_label(members, _small(labels), "id", "comp"))
     pairs, nearest = met.where("not whole").select("a", "b"), NEAREST
     while True:
-        grouped = _with_label(members, labels, "id", "comp").withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(4 * n)))
-        close = checkpoints.cut(grouped.groupBy("bucket").applyInArrow(_between(nearest), "a long, b long, more boolean"))
+        grouped = members.join(facts.select("id", "n_shingles", "sketch"), "id").groupBy("bucket")
+        close = checkpoints.cut(grouped.applyInArrow(_between(nearest), "bucket long, a long, b long, more boolean, comp_a long, comp_b long"))
         pairs = pairs.unionByName(close.select("a", "b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
         found = verified(pairs, facts, texts)
         checked = checked.unionByName(found)
         if not found.where("linked").isEmpty():
             links.append(found.where("linked").select("a", "b"))
             labels = components(reduce(DataFrame.unionByName, links))
-        more = _with_label(_with_label(close.where("more").select("a", "b").distinct(), labels, "a", "la"), labels, "b", "lb")
-        if more.where("la <> lb").isEmpty():
+        more = _with_label(_with_label(close.where("more"), _small(labels), "a", "la"), _small(labels), "b", "lb").where("la <> lb")
+        more = checkpoints.cut(more.select("bucket", F.explode(F.array("comp_a", "comp_b")).alias("comp")).distinct())
+        if more.isEmpty():
             break
-        pairs, nearest = pairs.limit(0), nearest * 8
+        members = members.join(_small(more), ["bucket", "comp"], "left_semi").drop("comp")
+        members = checkpoints.cut(_with_label(members, _small(labels), "id", "comp"))
+        pairs, nearest = pairs.limit(0), nearest * 32
     out = all_facts.select("id", "n_shingles").join(labels, F.col("id") == labels["node"], "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("label", "id").alias("component_id"))
 
