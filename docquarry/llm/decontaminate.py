@@ -1,20 +1,23 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised test items.
 
 Items and documents are normalised alike (A-Z lower-cased, words of letters,
-digits and non-ASCII characters, joined by one space).  Every window of 13
-consecutive item words, or the whole of a shorter item, is a pattern of one
-automaton; each document is scanned once, and hits are mapped back to words and,
-on request, to code-point spans of the original text.
-
-The automaton lives in each Python worker, so its size is checked: items are
-dealt into blocks of at most ``BLOCK_ITEM_BYTES`` of text.  One block is the
-usual case and needs no shuffle.  With more, the documents pass one block after
-another, each pass written to the checkpoint folder, and the hits add up.
+digits and non-ASCII characters).  The letters of the automaton are words.  Its
+patterns are pieces of 7 item words, of which every window of 13 has one in full
+(a shorter item is its own window and piece); a piece that a document has is
+followed in both directions, so that memory grows with the items, not with their
+windows.  Each document is scanned once, and hits are mapped back to words and to
+code-point spans of the original text.
+
+The automaton lives in each Python worker and its items are broadcast, so their
+size is checked: beyond ``BLOCK_ITEM_BYTES`` of item text the documents pass one
+block of items after another, each pass written to the checkpoint folder, and the
+hits add up to the same result.
 
 Defined cases: null texts have no words; null, empty or wordless items have no
 windows and hit nothing; items with a null id are left out; repeated items count
 once by id; repeated document rows each get their result; an empty benchmark
-leaves every document clean; columns other than the named ones are not read.
+leaves every document clean; columns other than the named ones are carried along
+unread, whatever they are called.
 """
 
 from __future__ import annotations
@@ -31,62 +34,80 @@ from docquarry.llm import checkpoints
 from docquarry.llm import textblocks as tb
 
 WINDOW = 13
-#: Item bytes in one automaton (about 30 bytes of memory for each byte of each window).
-BLOCK_ITEM_BYTES = 1 << 20
+#: Item bytes in one automaton (about 30 bytes of memory for each).
+BLOCK_ITEM_BYTES = 16 << 20
 BLOCK_BYTES = 4 << 20
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _TABLE = bytes(0x20 if tb.NON_ALNUM[b] else b for b in tb.LOWER.tolist())
-_built: dict[str, tuple] = {}
+_built: dict[str, object] = {}
+#: Letters of the automaton: with more words than that one stands for several, and runs are told by their words.
+_LETTERS = 1_000_000
 
 
 def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(_TABLE).split()
 
 
-def build(items: list[tuple[str, str]], window: int = WINDOW):
-    """The automaton of (item id, text) pairs; its values are (words, characters, item numbers)."""
-    import ahocorasick
-
-    found: dict[str, tuple[int, set[int]]] = {}
-    for number, (_, text) in enumerate(items):
-        words = words_of((text or "").encode())
-        size = min(window, len(words))
-        for i in range(len(words) - size + 1 if size else 0):
-            key = " " + b" ".join(words[i : i + size]).decode() + " "
-            found.setdefault(key, (size, set()))[1].add(number)
-    machine = ahocorasick.Automaton()
-    for key, (size, numbers) in found.items():
-        machine.add_word(key, (size, len(key), tuple(sorted(numbers))))
-    if found:
-        machine.make_automaton()
-    return machine if found else None
-
-
-def _machine(token: str, items, window: int):
+class Machine:
+    """One automaton over all items, whose letters are words.
+
+    Its patterns are the items' pieces of ``piece`` words, one after another: any window
+    has one of them in full, so a document word run that equals a window is found from a
+    piece and told by going on in both directions.  Its size is that of the items."""
+
+    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+        import ahocorasick
+
+        self.window, piece = window, (window + 1) // 2
+        self.letter: dict[bytes, str] = {}
+        self.words = [words_of((text or "").encode()) for _, text in items]
+        found: dict[str, list[tuple[int, int]]] = {}
+        for number, words in enumerate(self.words):
+            text = "".join([self.letter.setdefault(w, chr(1 + len(self.letter) % _LETTERS)) for w in words])
+            if 0 < len(text) < window:
+                found.setdefault(text, []).append((number, 0))
+            for at in range(0, len(text) - piece + 1 if len(text) >= window else 0, piece):
+                found.setdefault(text[at : at + piece], []).append((number, at))
+        self.tree = ahocorasick.Automaton()
+        for key, places in found.items():
+            self.tree.add_word(key, (len(key), places))
+        if found:
+            self.tree.make_automaton()
+        self.empty = not found
+
+    def scan(self, raw: bytes) -> tuple[int, list[tuple[int, int, int]]]:
+        """(number of words, runs of words equal to windows as (first word, end word, item number)) of a text."""
+        words = words_of(raw)
+        if self.empty or not words:
+            return len(words), []
+        letter = self.letter.get
+        text = "".join([letter(w, "\0") for w in words])
+        hits, done = [], {}
+        for end, (size, places) in self.tree.iter(text):
+            first = end - size + 1
+            for number, at in places:
+                item, shift = self.words[number], first - at
+                # a run goes on along one diagonal, and is followed once
+                if done.get((number, shift), 0) > first or words[first : end + 1] != item[at : at + size]:
+                    continue
+                a, b = first, end + 1
+                while a > max(0, shift) and words[a - 1] == item[a - 1 - shift]:
+                    a -= 1
+                while b < min(len(words), len(item) + shift) and words[b] == item[b - shift]:
+                    b += 1
+                done[number, shift] = b
+                if b - a >= min(self.window, len(item)):
+                    hits.append((a, b, number))
+        return len(words), hits
+
+
+def _machine(token: str, items, window: int) -> Machine:
     if token not in _built:
         _built.clear()
-        _built[token] = build(items, window)
+        _built[token] = Machine(items, window)
     return _built[token]
 
 
-def scan(machine, raw: bytes) -> tuple[int, list[tuple[int, int, tuple[int, ...]]]]:
-    """(number of words, hits as (first word, end word, item numbers)) of a text."""
-    words = words_of(raw)
-    if machine is None or not words:
-        return len(words), []
-    text = " " + b" ".join(words).decode() + " "
-    got = list(machine.iter(text))
-    if not got:
-        return len(words), []
-    # the character just before each word, to turn character places into word numbers
-    before = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 0x20)
-    hits = []
-    for end, (size, chars, numbers) in got:
-        at = int(np.searchsorted(before, end - chars + 1))
-        hits.append((at, at + size, numbers))
-    return len(words), hits
-
-
 def original_spans(text: str, hits) -> list[tuple[int, int]]:
     """Code-point spans, merged where they overlap, of word hits in the text as it was."""
     places = [m.span() for m in _WORD.finditer(text.translate({c: c + 32 for c in range(65, 91)}))]
@@ -116,13 +137,12 @@ def item_blocks(benchmark: DataFrame, item_id: str, text_col: str) -> list[list[
     return out
 
 
-def hit_words(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs' columns with a struct ``hits``: n_words, places (first and end word, merged), spans (code points), items."""
+def _hit_words(docs: DataFrame, benchmark: DataFrame, text_col: str, item_id: str, item_text: str, window: int) -> DataFrame:
+    """docs' columns by position (c0, c1, ...) with ``hits``: names of the caller may clash or repeat."""
     kind = "struct<n_words:long,places:array<struct<first:long,end:long>>,spans:array<struct<start:long,end:long>>,items:array<string>>"
     blocks = item_blocks(benchmark, item_id, item_text)
     spark = docs.sparkSession
     names = docs.columns
-    # names of the caller may clash or repeat: they travel as positions
     df = docs.toDF(*(f"c{i}" for i in range(len(names))))
     text = f"c{names.index(text_col)}"
     df = df.withColumn("hits", F.lit(None).cast(kind))
@@ -133,7 +153,12 @@ def hit_words(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
         df = df.mapInArrow(_scanner(shared, token, window, text), schema)
         if at + 1 < len(blocks):
             df = checkpoints.cut(df)
-    return df.toDF(*names, "hits")
+    return df
+
+
+def hit_words(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """docs' columns with a struct ``hits``: n_words, places (first and end word, merged), spans (code points), items."""
+    return _hit_words(docs, benchmark, text_col, item_id, item_text, window).toDF(*docs.columns, "hits")
 
 
 def _scanner(shared, token: str, window: int, text: str):
@@ -147,8 +172,8 @@ def _scanner(shared, token: str, window: int, text: str):
             new = []
             for value, before in zip(block[text], old):
                 raw = (value.as_py() or "").encode()
-                n, hits = scan(machine, raw)
-                ids = {items[k][0] for h in hits for k in h[2]}
+                n, hits = machine.scan(raw)
+                ids = {items[k][0] for _, _, k in hits}
                 places = [(f, e) for f, e, _ in hits]
                 spans = original_spans(raw.decode(), hits) if hits else []
                 if before:
@@ -182,9 +207,20 @@ def contaminated(hits: str = "hits") -> Column:
     return (n_hit(hits) > 0) & (20 * n_hit(hits) >= F.col(f"{hits}.n_words"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns."""
-    return hit_words(docs, benchmark, text_col=text_col).where(~contaminated()).drop("hits")
+def without(text: Column, spans: Column) -> Column:
+    """text less its spans (in order and apart)."""
+    stop = F.concat(F.transform(spans, lambda x: x["start"]), F.array(F.length(text).cast("long")))
+    start = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda x: x["end"]))
+    return F.array_join(F.zip_with(start, stop, lambda a, b: F.substring(text, a.cast("int") + 1, (b - a).cast("int"))), "")
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns; what is hit in them is cut out of their text."""
+    names = docs.columns
+    got = _hit_words(docs, benchmark, text_col, item_id, item_text, window).where(~contaminated())
+    at = F.col(f"c{names.index(text_col)}")
+    got = got.withColumn(f"c{names.index(text_col)}", F.when(F.size("hits.spans") > 0, without(at, F.col("hits.spans"))).otherwise(at))
+    return got.drop("hits").toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

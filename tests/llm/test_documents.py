@@ -97,6 +97,38 @@ def test_near_duplicates(docs, rows, empty):
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 
+def test_cut_passages(spark, docs, empty):
+    """What is hit goes, contaminated documents go, clashing columns stay."""
+    item = " ".join(f"q{i}" for i in range(30))
+    other = " ".join(f"own{i}" for i in range(800))
+    text = f"{other} {item.upper()}, {other} é; q0 q1. {item} end"
+    df = spark.createDataFrame([(1, text, "h"), (2, item, "h"), (3, other, None), (4, None, None), (5, "", None)], "doc_id long, text string, hits string")
+    bench = spark.createDataFrame([("a", item), ("b", None), ("c", "")], "item_id string, text string")
+    got = {r.doc_id: r for r in decontaminate.keep_clean(df, bench).collect()}
+    assert sorted(got) == [1, 3, 4, 5] and got[1].hits == "h"
+    assert got[1].text == f"{other} , {other} é; q0 q1.  end" and (got[3].text, got[4].text, got[5].text) == (other, None, "")
+    kept = decontaminate.keep_clean(docs, bench)
+    assert kept.columns == docs.columns and kept.count() == docs.count()
+    assert decontaminate.keep_clean(empty, bench).count() == 0
+
+
+def test_repeating_pieces_and_shared_letters(monkeypatch):
+    """Periodic items, pieces of many items and letters that stand for several words give the hits of their windows."""
+    import random
+
+    rng = random.Random(3)
+    for letters in (1_000_000, 3):
+        monkeypatch.setattr(decontaminate, "_LETTERS", letters)
+        items = [(str(i), " ".join(rng.choice("abc") for _ in range(rng.choice([1, 5, 7, 12, 13, 14, 20, 40])))) for i in range(12)]
+        docs = [(i, " ".join(rng.choice("abcd") for _ in range(60)) + " " + rng.choice(items)[1]) for i in range(60)]
+        machine = decontaminate.Machine(items)
+        want = brute.hits(docs, items)
+        for i, text in docs:
+            n, runs = machine.scan(text.encode())
+            hit = {w for a, b, _ in runs for w in range(a, b)}
+            assert (n, len(hit), len({k for _, _, k in runs})) == want[i][:3]
+
+
 def test_near_duplicates_in_large_groups(spark, monkeypatch):
     """Groups that meet in chunks, one partner at a time, lose no link."""
     import random
@@ -201,8 +233,8 @@ def test_decontamination(spark, docs, rows, empty, monkeypatch):
 
 def test_decontamination_spans():
     text = "An OLD, Word5 word6 here"
-    machine = decontaminate.build([("1", "old word5")])
-    _, hits = decontaminate.scan(machine, text.encode())
+    machine = decontaminate.Machine([("1", "old word5")])
+    _, hits = machine.scan(text.encode())
     assert [text[a:b] for a, b in decontaminate.original_spans(text, hits)] == ["OLD, Word5"]
 
 

@@ -103,6 +103,9 @@ def test_pipeline_stages(spark):
     items = duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()
     hits = brute.hits([(r.doc_id, r.text) for r in before], items)
     assert ids(after) == sorted(i for i, h in hits.items() if not h[4])
+    assert not [i for i, h in brute.hits([(r.doc_id, r.text) for r in after], items).items() if h[1]]
+    clean = {r.doc_id: r.text for r in before if not hits[r.doc_id][1]}
+    assert {r.doc_id: r.text for r in after if r.doc_id in clean} == clean
     before, after = seen["pii"]
     assert ids(after) == ids(before)
     assert not [r for r in after if brute.base_spans(r.text)]
