@@ -122,13 +122,70 @@ def luhn(digits):
     return total % 10 == 0
 
 
+_BASE = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+    "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m))),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15),
+}
+
+
+def digits(m):
+    return re.sub("[^0-9]", "", m)
+
+
+def base_matches(text):
+    """kind -> places of all matches, of whatever value."""
+    return {kind: [m.span() for m in re.finditer(pattern, text or "")] for kind, (pattern, _) in _BASE.items()}
+
+
 def base_spans(text):
     """kind:start:end of the base patterns, by kind."""
-    digits = lambda m: re.sub("[^0-9]", "", m)
-    rules = [
-        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
-        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
-        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m))),
-        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15),
-    ]
-    return [f"{kind}:{m.start()}:{m.end()}" for kind, pattern, ok in rules for m in re.finditer(pattern, text or "") if ok(m[0])]
+    return [f"{kind}:{m.start()}:{m.end()}" for kind, (pattern, ok) in _BASE.items() for m in re.finditer(pattern, text or "") if ok(m[0])]
+
+
+def found_spans(docs, loose, rounds, accept, least):
+    """id -> spans that the pattern graph adds to the base ones."""
+    import regex
+
+    before = regex.compile(r"(?:([\p{L}\p{N}_]+)[^\p{L}\p{N}\s]*\s+)?([\p{L}\p{N}_]+)[^\p{L}\p{N}\s]*[\s:=|]+[(\[]*$")
+    after = regex.compile(r"^[)\]]*[\s,.;:]*([\p{L}\p{N}_]+)")
+    mentions = []
+    for i, text in docs:
+        text = text or ""
+        base = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in base_spans(text))]
+        slots = [(k, m.start(), m.end()) for k, p in loose.items() for m in regex.finditer(p, text)]
+        # what stands between a match and its neighbours of the same shape
+        raw = {True: base_matches(text), False: {k: [m.span() for m in regex.finditer(p, text)] for k, p in loose.items()}}
+        for seed, spans in ((True, base), (False, slots)):
+            for k, a, b in spans:
+                ends = [e for _, e in raw[seed][k] if e <= a]
+                heads = [s for s, _ in raw[seed][k] if s >= b]
+                left, right = text[max([a - 64, *ends[-1:]]) if ends else max(0, a - 64) : a], text[b : min([b + 64, *heads[:1]])]
+                m, n = before.search(left), after.search(right)
+                two, word = ((m[1] or "").lower(), m[2].lower()) if m else ("", "")
+                seen = [f"{word} *"] if word else []
+                seen += [f"{two} {word} *"] if word and two else []
+                seen += [f"{word} * {n[1].lower()}"] if word and n else []
+                if not seed and (not seen or any(x < b and a < y for _, x, y in base)):
+                    continue
+                value = text[a:b].lower() if k == "email" else re.sub("[^0-9]", "", text[a:b])
+                mentions.append((i, a, b, k, value, seen, seed))
+    seeds = {(k, v) for _, _, _, k, v, _, seed in mentions if seed}
+    edges = Counter((k, p, v) for _, _, _, k, v, seen, _ in mentions for p in seen)
+    known = Counter((k, p) for k, p, v in edges if (k, v) in seeds)
+    edges = {x: n for x, n in edges.items() if known[x[:2]] >= least}
+    score = {(k, v): float((k, v) in seeds) for k, _, v in edges}
+    for _ in range(rounds):
+        total, weight, miss = Counter(), Counter(), defaultdict(lambda: 1.0)
+        for (k, p, v), n in edges.items():
+            total[k, p] += n * score[k, v]
+            weight[k, p] += n
+        for k, p, v in edges:
+            miss[k, v] *= max(1e-12, 1 - total[k, p] / weight[k, p])
+        score = {x: 1.0 if x in seeds else 1 - miss[x] for x in score}
+    out = {i: set() for i, _ in docs}
+    for i, a, b, k, v, _, seed in mentions:
+        if not seed and score.get((k, v), 0) >= accept:
+            out[i].add((a, b, k))
+    return {i: sorted(x) for i, x in out.items()}

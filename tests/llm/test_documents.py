@@ -280,3 +280,44 @@ def test_scores_fall_on_what_nobody_else_says(spark, docs, empty):
     assert got[3].n_bigram > 250  # a copy vouches for it
     assert got[14].n_unseen == 1 and got[14].n_bigram == 0
     assert lm_score.backoff_scores(empty).count() == 0
+
+
+def test_pii_among_clashing_columns(spark, docs, empty):
+    odd = docs.select("doc_id", "text", *(F.lit(n).alias(n) for n in ("base", "loose", "found", "row", "_row", "_key", "t", "digit", "at", "email", "c0", "c1")))
+    got = {r.doc_id: r for r in pii.redact_pii(odd).collect()}
+    assert pii.redact_pii(odd).columns == odd.columns
+    assert all(r.base == "base" and r.c0 == "c0" and r.row == "row" for r in got.values())
+    assert got[20].text.startswith("mail me at <email> or call <phone> now") and got[11].text is None and got[10].text == ""
+    assert pii.find_pii(odd, keep=["doc_id", "base"]).columns == ["doc_id", "base", "base", "found"]
+    assert pii.redact_pii(empty).count() == 0
+
+
+def test_pii_of_a_very_long_text(spark):
+    """40,000 matches in seconds: the work does not grow with their square."""
+    import time
+
+    text = " ".join(f"tel +49 30 {i:06d}5" + (" é" if i % 3 else "") for i in range(40_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    got = pii.find_pii(df, keep=["doc_id"]).select(pii.digest(F.col("base")).alias("d")).first().d
+    assert got == ",".join(brute.base_spans(text))
+    assert "+49" not in pii.redact_pii(df).first().text and time.time() - began < 60
+
+
+def test_pii_method_spans(spark):
+    """New spans against a plain version of the graph."""
+    import random
+
+    rng = random.Random(11)
+    number = lambda: " ".join(str(rng.randrange(100, 9999)) for _ in range(3))
+    heads = ["please call", "fax no", "my phone:", "order id", "room", "ring (me)"]
+    rows = []
+    for i in range(160):
+        head = rng.choice(heads)
+        plus = "+" if rng.random() < (0.8 if head in heads[:3] else 0.1) else ""
+        rows.append((i, f"Text {i}: {head} {plus}{number()} {rng.choice(['today', 'soon', 'or'])} and {rng.choice(heads)} {number()}."))
+    rows += [(900, None), (901, ""), (902, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: sorted((x.s, x.e, x.kind) for x in r.found) for r in pii.find_pii(df).collect()}
+    want = brute.found_spans(rows, pii.LOOSE, pii.ROUNDS, pii.ACCEPT, pii.LEAST_SEEDS)
+    assert got == want and 0 < sum(map(len, want.values())) < 2 * len(rows)
