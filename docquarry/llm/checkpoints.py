@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_folder(spark: SparkSession) -> None:
-    """Use the folder in spark.checkpoint.dir; make one of our own only where none is set (tests, local mode)."""
+    """Use the folder in spark.checkpoint.dir; one of our own only where none is set and all runs on this machine."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "docquarry-checkpoints"))
 
 

@@ -9,8 +9,9 @@ Rates above ``PART_RATE`` are drawn as a sum of independent Poisson parts, so th
 tables of cumulative probabilities stay short whatever the rate.
 
 Defined cases: a null source is a source of its own; a source without a weight is
-left out if weights are given; rows with equal ids draw equal counts; a null id
-draws like the text "null"; an empty table gives an empty result; input columns
+left out if weights are given; rows with equal ids draw equal counts and are ordered
+by what else they hold; a null id draws like the text "null"; null, empty and very
+long texts are carried along; an empty table gives an empty result; input columns
 named like an output column get the suffix ``_in``.
 """
 
@@ -60,21 +61,25 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, *, source_co
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, seed: int = 42, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs' rows, each as often as drawn, with ``copy`` (from 1) and ``shuffle_key``, in the order of that key."""
-    docs = docs.withColumnsRenamed({c: f"{c}_in" for c in docs.columns if c in ("copy", "shuffle_key")})
-    table = checkpoints.cut(rates(docs, weights, source_col=source_col))
+    names = [f"{c}_in" if c in ("copy", "shuffle_key") else c for c in docs.columns]
+    ident, source = (f"c{docs.columns.index(c)}" for c in (id_col, source_col))
+    # names of the caller may clash or repeat: they travel as positions
+    docs = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    table = checkpoints.cut(rates(docs, weights, source_col=source).select("source", "parts", "cumulative"))
     small = table.count() <= BROADCAST_SOURCES
-    table = table.select(F.col("source").alias("_source"), F.col("parts").alias("_parts"), F.col("cumulative").alias("_cumulative"))
-    key = F.coalesce(docs[id_col].cast("string"), F.lit("null"))
-    joined = docs.join(F.broadcast(table) if small else table, docs[source_col].cast("string").eqNullSafe(table["_source"]))
+    key = F.coalesce(docs[ident].cast("string"), F.lit("null"))
+    joined = docs.join(F.broadcast(table) if small else table, docs[source].cast("string").eqNullSafe(table["source"]))
 
     def drawn(part):
         u = _unit(F.lit(str(seed)), key, part.cast("string"))
-        return F.size(F.filter("_cumulative", lambda c: c <= u)).cast("long")
+        return F.size(F.filter("cumulative", lambda c: c <= u)).cast("long")
 
-    copies = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("_parts")), F.lit(0).cast("long"), lambda n, i: n + drawn(i))
-    rows = joined.withColumn("_n", copies).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    copies = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("parts")), F.lit(0).cast("long"), lambda n, i: n + drawn(i))
+    rows = joined.withColumn("n", copies).where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     rows = rows.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"order{seed}"), key, F.col("copy").cast("string"))))
-    return rows.select(*docs.columns, "copy", "shuffle_key").orderBy("shuffle_key")
+    # rows with equal ids have equal keys: what else they hold tells them apart
+    held = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    return rows.orderBy("shuffle_key", F.xxhash64(*held)).select(*docs.columns, "copy", "shuffle_key").toDF(*names, "copy", "shuffle_key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

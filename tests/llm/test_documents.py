@@ -321,3 +321,11 @@ def test_pii_method_spans(spark):
     got = {r.doc_id: sorted((x.s, x.e, x.kind) for x in r.found) for r in pii.find_pii(df).collect()}
     want = brute.found_spans(rows, pii.LOOSE, pii.ROUNDS, pii.ACCEPT, pii.LEAST_SEEDS)
     assert got == want and 0 < sum(map(len, want.values())) < 2 * len(rows)
+
+
+def test_mixing_among_clashing_columns_and_ties(spark, docs):
+    odd = docs.select("doc_id", "source", "text", *(F.lit(n).alias(n) for n in ("_parts", "_n", "_source", "_cumulative", "parts", "n", "cumulative", "weight", "n_docs", "c0", "shuffle_key")))
+    twice = odd.unionByName(odd.withColumn("text", F.lit("another text of the same id")))
+    once = mixing.mix_sources(twice).collect()
+    assert mixing.mix_sources(odd).columns == [*odd.columns[:-1], "shuffle_key_in", "copy", "shuffle_key"]
+    assert once == mixing.mix_sources(twice.repartition(5)).collect() and once[0]._parts == "_parts"
