@@ -59,7 +59,7 @@ N2, K2 = 3, 1
 #: First-level partitions whose signatures make the coarse stars.
 COARSE = 3
 SIG_BITS = 40
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Holders of a signature up to which all pairs between components are taken at once.
 SMALL = 8
 #: Pairs that two components give at first where they meet in larger groups.
@@ -386,7 +386,7 @@ def _verify(batches):
     import zstandard
 
     press = zstandard.ZstdDecompressor()
-    for block in tb.iter_blocks(batches, "size", BLOCK_BYTES // 4, sized=True):
+    for block in tb.iter_blocks(batches, "size", BLOCK_BYTES // 2, sized=True):
         n = block.num_rows
         # a hub's text comes with each of its pairs, and is taken apart once
         seen: dict[bytes, int] = {}
