@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from docquarry.llm import textblocks as tb
 
 BLOCK_BYTES = 2 << 20
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Tokens from which the entropy of a document says something.
 MIN_TOKENS = 64
 
