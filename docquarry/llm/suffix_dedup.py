@@ -47,19 +47,19 @@ SHARDS = 2
 _LANES = 8192
 
 
-def _words8(s: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on, as one big-endian number."""
-    padded = np.r_[s, np.zeros(8, np.uint8)]
-    out = np.zeros(len(s), U)
-    for i in range(8):
-        out = (out << U(8)) | padded[i : i + len(s)].astype(U)
-    return out
+def _words8(s: np.ndarray, more: int = 0) -> np.ndarray:
+    """The eight bytes from each place on (and from so many places behind), as one big-endian number."""
+    out = np.zeros(len(s) + more + 8, U)
+    out[: len(s)] = s
+    for width in (1, 2, 4):
+        out[:-width] = (out[:-width] << U(8 * width)) | out[width:]
+    return out[: len(s) + more]
 
 
-def suffix_array(s: np.ndarray) -> np.ndarray:
+def suffix_array(s: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
     """Places of s in the order of the suffixes there."""
     n = len(s)
-    first = _words8(s)
+    first = _words8(s) if words is None else words[:n]
     # a suffix of under eight bytes stands before longer ones with the same padded word
     length = np.minimum(n - np.arange(n), 8).astype(np.int8)
     order = np.argsort(first)
@@ -87,7 +87,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return order
 
 
-def common_prefixes(s: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+def common_prefixes(s: np.ndarray, order: np.ndarray, most: int, words: np.ndarray | None = None) -> np.ndarray:
     """Bytes (up to most) that the suffix at each rank shares with the one before, by Kasai's method.
 
     The text is cut into lanes that are scanned side by side; a lane's first value
@@ -95,7 +95,7 @@ def common_prefixes(s: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     n = len(s)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    words = _words8(np.r_[s, np.zeros(most + 8, np.uint8)])
+    words = _words8(s, most + 8) if words is None else words
     by_place = np.zeros(n, np.int64)
     step = -(-n // _LANES) if n else 1
     lane = np.arange(0, n, step)
@@ -129,12 +129,13 @@ def _leading(diff: np.ndarray) -> np.ndarray:
 
 
 def _docs_anchors(table: pa.Table):
-    """(table by id, data, off, document index of bytes, anchors, inside)."""
+    """(table by id, data, off, document index of bytes, prefix sums of bytes, least grams, inside)."""
     table = winnow.sorted_block(table)
     data, off = tb.text_buffers(table["text"])
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    anchor, inside = winnow.anchors(tb.BYTE_VALUES[data], doc, LENGTH, GRAM)
-    return table, data, off, doc, anchor, inside
+    doc = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))
+    values = tb.BYTE_VALUES[data]
+    sums = tb.prefix_sums(values)
+    return table, data, off, doc, sums, *winnow.least_grams(values, doc, LENGTH, GRAM, sums)
 
 
 def _rows(rows) -> pa.Table:
@@ -145,9 +146,9 @@ def _anchor_rows(n: int):
     """Rows (bucket, block, anchors): those met once in the block, then those met more often."""
 
     def run(key, table):
-        _, _, _, _, anchor, inside = _docs_anchors(table)
+        *_, anchor, inside = _docs_anchors(table)
         at = winnow.occurrences(anchor, inside)
-        a, count = np.unique(anchor[at], return_counts=True)
+        a, count = np.unique(tb.mix(anchor[at]), return_counts=True)
         rows = []
         for b, p in winnow.by_bucket(a, n):
             once, often = tb.pack(winnow.low(a[p][count[p] == 1])), tb.pack(winnow.low(a[p][count[p] > 1]))
@@ -171,20 +172,29 @@ def _shared(key, table):
 
 def _segments(docs: pa.Table, shared: pa.Table, n: int):
     """The block's segments: (table, data, off, doc of segment, start, windows, anchor, content number, first of each content)."""
-    docs, data, off, doc, anchor, inside = _docs_anchors(docs)
+    docs, data, off, doc, sums, anchor, inside = _docs_anchors(docs)
     table = winnow.join_shared([(r["bucket"], 0, r["payload"]) for r in shared.to_pylist()])
     runs = winnow.occurrences(anchor, inside)
-    runs = runs[winnow.among(anchor[runs], table, n)]
+    keys = tb.mix(anchor[runs])
+    known = winnow.among(keys, table, n)
+    runs, keys = runs[known], keys[known]
     # a run ends where its anchor or document does
     stop = np.ones(len(anchor) + 1, bool)
     stop[1:-1] = (anchor[1:] != anchor[:-1]) | ~inside[1:] | ~inside[:-1]
     ends = np.flatnonzero(stop)
     windows = ends[np.searchsorted(ends, runs, side="right")] - runs
-    content = tb.span_hash(tb.prefix_sums(tb.BYTE_VALUES[data]), runs, runs + windows + LENGTH - 1)
+    content = tb.span_hash(sums, runs, runs + windows + LENGTH - 1)
     ids = np.asarray(docs["id"].combine_chunks())
     owner = ids[doc[runs]] if len(runs) else np.zeros(0, np.int64)
     _, first, which = np.unique(content, return_index=True, return_inverse=True)  # documents ascend, so the first is the least
-    return docs, data, off, owner, runs, windows, anchor[runs], content, first, which
+    return docs, data, off, owner, runs, windows, keys, content, first, which
+
+
+def _by_shard(anchor: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of segments by shard and anchor, where each shard's begin and the last one's end)."""
+    shard = winnow.bucket_of(anchor, shards)
+    order = np.lexsort((winnow.low(anchor), shard))
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
 def _segment_rows(n: int, shards: int):
@@ -196,9 +206,7 @@ def _segment_rows(n: int, shards: int):
         _, data, _, owner, runs, windows, anchor, content, first, _ = _segments(docs, shared, n)
         raw = data.tobytes()
         rows = []
-        shard = winnow.bucket_of(anchor[first], shards)
-        order = np.lexsort((winnow.low(anchor[first]), shard))
-        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+        order, cuts = _by_shard(anchor[first], shards)
         for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
             if y > x:
                 at = first[order[x:y]]
@@ -231,21 +239,24 @@ def _open_segments(raw: bytes):
 
 
 def _piece_strings(text: np.ndarray, sizes: np.ndarray, owner: np.ndarray):
-    """Of one piece: (places of the windows, number of each window's string, a place of each string in ascending order, least owner of each)."""
+    """Of one piece: (places of the windows, segment and number of string of each, a place of each string in ascending order, least owner of each)."""
     n = len(text)
     ends = np.cumsum(sizes)
     segment = np.repeat(np.arange(len(sizes)), sizes)
     whole = ends[segment] - np.arange(n) >= LENGTH
-    order = suffix_array(text)
-    shared = common_prefixes(text, order, LENGTH) >= LENGTH
+    words = _words8(text, LENGTH + 8)
+    order = suffix_array(text, words)
+    shared = common_prefixes(text, order, LENGTH, words) >= LENGTH
     shared[:1] = False
-    string = np.cumsum(~shared) - 1
+    string = np.cumsum(~shared)
     keep = whole[order]
     places, string = order[keep], string[keep]
-    _, first, string = np.unique(string, return_index=True, return_inverse=True)
-    least = np.full(len(first), np.iinfo(np.int64).max)
-    np.minimum.at(least, string, owner[segment[places]])
-    return places, string, places[first], least
+    segment = segment[places]
+    # windows of one string stand together
+    edge = np.flatnonzero(np.r_[True, string[1:] != string[:-1]]) if len(string) else np.zeros(0, np.int64)
+    least = np.minimum.reduceat(owner[segment], edge) if len(edge) else np.zeros(0, np.int64)
+    number = np.repeat(np.arange(len(edge)), np.diff(np.r_[edge, len(string)]))
+    return places, segment, number, places[edge], least
 
 
 def _fixed(text: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -290,12 +301,12 @@ def _cuts(anchor: np.ndarray, sizes: np.ndarray):
 
 
 def _shard(key, table):
-    """To each block, of its segments with such windows: content hash and a bit for each window that a smaller document has."""
+    """To each block: a bit for each of its segments, in order, that has windows that a smaller document has, then a bit for each window of those."""
     block, parts = [], []
     for r in table.to_pylist():
         parts.append(_open_segments(r["payload"]))
-        block.append(np.full(len(parts[-1][0]), r["block"]))
-    block = np.concatenate(block)
+        block.append(r["block"])
+    held_by = np.cumsum([0, *(len(p[0]) for p in parts)])
     anchor, owner, content, windows, text = (np.concatenate([p[i] for p in parts]) for i in range(5))
     sizes = windows + LENGTH - 1
     begin = np.cumsum(sizes) - sizes
@@ -314,43 +325,38 @@ def _shard(key, table):
         at = chosen[x:y]
         s = sizes[at]
         take = np.repeat(begin[at] - (np.cumsum(s) - s), s) + np.arange(int(s.sum()))
-        places, string, sample, least = _piece_strings(text[take], s, owner[at])
-        held.append({"text": text[take], "places": places, "string": string, "sample": sample, "least": least, "sizes": s, "x": x})
+        mine = text[take]
+        places, segment, string, sample, least = _piece_strings(mine, s, owner[at])
+        held.append({"text": mine, "places": places, "segment": segment, "string": string, "sample": sample, "least": least, "sizes": s, "x": x})
         if more:
             continue  # the next piece has the same anchor
         if len(held) > 1:
             _merge(held)
         for p in held:
-            s_end = np.cumsum(p["sizes"])
-            seg = np.searchsorted(s_end, p["places"], side="right")
-            best[wbegin[p["x"] + seg] + p["places"] - (s_end - p["sizes"])[seg]] = p["least"][p["string"]]
+            s_begin, seg = np.cumsum(p["sizes"]) - p["sizes"], p["segment"]
+            best[(wbegin[p["x"] : p["x"] + len(s_begin)] - s_begin)[seg] + p["places"]] = p["least"][p["string"]]
         held = []
     out: dict[int, list[bytes]] = {}
     # a segment's owner is compared with the least owner of each of its windows
     reps = windows
     src = np.repeat(wbegin[number] - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum()))
     flag = best[src] < np.repeat(owner, reps)
-    any_ = tb.per_doc(flag, np.r_[0, np.cumsum(reps)]) > 0
-    stop = np.cumsum(reps)
-    for i in np.flatnonzero(any_).tolist():
-        bits = np.packbits(flag[stop[i] - reps[i] : stop[i]]).tobytes()
-        out.setdefault(int(block[i]), []).append(int(content[i]).to_bytes(8, "little") + bits)
-    return _rows([(key[0].as_py(), b, _framed(x)) for b, x in out.items()])
-
-
-def _framed(parts: list[bytes]) -> bytes:
-    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
+    stop = np.r_[0, np.cumsum(reps)]
+    some = tb.per_doc(flag, stop) > 0
+    rows = []
+    for b, x, y in zip(block, held_by[:-1], held_by[1:]):
+        if some[x:y].any():
+            of_some = flag[stop[x] : stop[y]][np.repeat(some[x:y], reps[x:y])]
+            rows.append((key[0].as_py(), b, np.packbits(some[x:y]).tobytes() + np.packbits(of_some).tobytes()))
+    return _rows(rows)
 
 
-def _unframed(raw: bytes):
-    at = 0
-    while at < len(raw):
-        size = int.from_bytes(raw[at : at + 4], "little")
-        yield int.from_bytes(raw[at + 4 : at + 12], "little"), raw[at + 12 : at + 4 + size]
-        at += 4 + size
+def _windows(runs: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Starts of all windows of segments."""
+    return np.repeat(runs - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
 
 
-def _result(n: int):
+def _result(n: int, shards: int):
     """Per row of a block: n_bytes, n_removed, n_spans and the kept bytes' digest, with the removed spans."""
 
     def run(key, docs, answers):
@@ -358,21 +364,27 @@ def _result(n: int):
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
         rows = answers.to_pylist()
         shared = pa.table([pa.array([r["bucket"] for r in rows if not r["bits"]], pa.int32()), pa.array([r["payload"] for r in rows if not r["bits"]], pa.binary())], names=["bucket", "payload"])
-        docs, data, off, owner, runs, windows, _, content, first, which = _segments(docs, shared, n)
+        docs, data, off, owner, runs, windows, anchor, _, first, which = _segments(docs, shared, n)
         removed = np.zeros(len(data), bool)
         if len(runs):
-            least = owner[first][which]
-            later = owner > least
-            flagged: dict[int, bytes] = {}
+            later = owner > owner[first][which]
+            starts = [_windows(runs[later], windows[later])]
+            order, cuts = _by_shard(anchor[first], shards)
+            place, bits, at = np.full(len(first), -1, np.int64), [np.zeros(0, np.uint8)], 0
             for r in rows:
                 if r["bits"]:
-                    flagged.update(_unframed(r["payload"]))
-            starts = [np.repeat(runs[later] - (np.cumsum(windows[later]) - windows[later]), windows[later]) + np.arange(int(windows[later].sum()))]
-            if flagged:
-                known = np.fromiter(flagged, U, len(flagged))
-                for i in np.flatnonzero(~later & np.isin(content, known)).tolist():
-                    bits = np.unpackbits(np.frombuffer(flagged[int(content[i])], np.uint8))[: windows[i]]
-                    starts.append(runs[i] + np.flatnonzero(bits))
+                    sent = order[cuts[r["bucket"]] : cuts[r["bucket"] + 1]]
+                    raw = np.frombuffer(r["payload"], np.uint8)
+                    head = -(-len(sent) // 8)
+                    some = sent[np.unpackbits(raw[:head], count=len(sent)) > 0]
+                    size = windows[first[some]]
+                    place[some] = at + np.cumsum(size) - size
+                    bits.append(np.unpackbits(raw[head:], count=int(size.sum())))
+                    at += int(size.sum())
+            # all segments of the document that has the bytes first, be they repeated there
+            own = np.flatnonzero(~later & (place[which] >= 0))
+            flag = np.concatenate(bits)[_windows(place[which[own]], windows[own])] > 0
+            starts.append(_windows(runs[own], windows[own])[flag])
             removed = tb.cover(np.concatenate(starts).astype(np.int64), LENGTH, len(data))
         head = removed.copy()
         head[1:] &= ~removed[:-1]
@@ -384,10 +396,11 @@ def _result(n: int):
         tail[at] = removed[at]
         heads, tails = np.flatnonzero(head), np.flatnonzero(tail) + 1
         digests, spans = [], []
+        at = np.searchsorted(heads, off)
         for i in range(docs.num_rows):
             text = data[off[i] : off[i + 1]]
             digests.append(hashlib.sha256(text[~removed[off[i] : off[i + 1]]].tobytes()).hexdigest())
-            x, y = np.searchsorted(heads, (off[i], off[i + 1]))
+            x, y = at[i], at[i + 1]
             spans.append(np.stack([heads[x:y], tails[x:y]], axis=1).astype("<i8").__sub__(off[i]).tobytes())
         return pa.table([docs["id"], pa.array(np.diff(off)), pa.array(tb.per_doc(removed, off)), pa.array(tb.per_doc(head, off)), pa.array(digests, pa.string()), pa.array(spans, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
@@ -405,7 +418,7 @@ def dedup_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     shared = checkpoints.cut(shared)
     bits = groups().cogroup(shared.groupBy("block")).applyInArrow(_segment_rows(n, SHARDS * n), _ROW).groupBy("bucket").applyInArrow(_shard, _ROW)
     answers = shared.withColumn("bits", F.lit(False)).unionByName(bits.withColumn("bits", F.lit(True)))
-    out = groups().cogroup(answers.groupBy("block")).applyInArrow(_result(n), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary")
+    out = groups().cogroup(answers.groupBy("block")).applyInArrow(_result(n, SHARDS * n), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary")
     ident, text = docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit(""))
     rest = docs.where(ident.isNull() | docs[text_col].isNull() | (docs[text_col].cast("string") == ""))
     zero = F.lit(0).cast("long")

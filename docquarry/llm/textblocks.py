@@ -97,12 +97,12 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(U) * U(0x9E3779B97F4A7C15))
 
 
-def window_hash(values: np.ndarray, k: int) -> np.ndarray:
-    """Hash of values[i : i + k] for each i with a full window."""
+def window_hash(values: np.ndarray, k: int, sums: np.ndarray | None = None) -> np.ndarray:
+    """Hash of values[i : i + k] for each i with a full window; sums: the values' prefix sums, if there are."""
     n = len(values) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=U)
-    sums = prefix_sums(values)
+    sums = prefix_sums(values) if sums is None else sums
     inv = _power_table(_BASE_INV, len(sums))
     return mix((sums[k:] - sums[:n]) * inv[:n])
 

@@ -76,10 +76,16 @@ def sorted_block(packed: pa.Table) -> pa.Table:
 
 def anchors(values: np.ndarray, doc: np.ndarray, k: int, g: int) -> tuple[np.ndarray, np.ndarray]:
     """(anchor of the window at each place, whether the window lies in one document)."""
+    least, inside = least_grams(values, doc, k, g)
+    return tb.mix(least), inside
+
+
+def least_grams(values: np.ndarray, doc: np.ndarray, k: int, g: int, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Like anchors, but as the least hashes themselves, which are not spread evenly."""
     n = len(values) - k + 1
     if n <= 0:
         return np.zeros(0, tb.U), np.zeros(0, bool)
-    return tb.mix(tb.shifted(tb.window_hash(values, g), k - g + 1)), doc[:n] == doc[k - 1 :]
+    return tb.shifted(tb.window_hash(values, g, sums), k - g + 1), doc[:n] == doc[k - 1 :]
 
 
 def occurrences(anchor: np.ndarray, inside: np.ndarray) -> np.ndarray:
