@@ -38,8 +38,8 @@ from docquarry.llm.textblocks import U
 LENGTH = 50
 GRAM = 25
 BLOCK_BYTES = 2 << 20
-#: Bytes of one suffix array (whose values and keys then fit in 63 bits together).
-PIECE_BYTES = 2 << 20
+#: Bytes of one suffix array: its arrays then stay in a core's cache.
+PIECE_BYTES = 256 << 10
 _ROW = "bucket int, block int, payload binary"
 #: Shards for each shuffle partition.
 SHARDS = 2
@@ -130,6 +130,7 @@ def _leading(diff: np.ndarray) -> np.ndarray:
 
 def _docs_anchors(table: pa.Table):
     """(table by id, data, off, document index of bytes, prefix sums of bytes, least grams, inside)."""
+    tb.reuse_memory()
     table = winnow.sorted_block(table)
     data, off = tb.text_buffers(table["text"])
     doc = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))
@@ -265,20 +266,25 @@ def _fixed(text: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def _merge(pieces: list[dict]) -> None:
-    """Least owners across pieces that an anchor was cut between: each string is looked up by binary search."""
-    for q, mine in enumerate(pieces):
-        for p, other in enumerate(pieces):
-            if p == q:
-                continue
-            for x in (mine, other):
-                if "sorted" not in x:
-                    x["sorted"] = _fixed(x["text"], x["sample"])
-            at = np.searchsorted(other["sorted"], mine["sorted"])
-            at = np.minimum(at, max(0, len(other["sorted"]) - 1))
-            hit = other["sorted"][at] == mine["sorted"] if len(other["sorted"]) else np.zeros(len(mine["sorted"]), bool)
-            mine["new"] = np.minimum(mine.get("new", mine["least"]), np.where(hit, other["least"][at] if len(other["least"]) else 0, mine["least"]))
-    for x in pieces:
-        x["least"] = x.get("new", x["least"])
+    """Least owners across pieces that an anchor was cut between: sorted strings are merged two by two by binary search, then looked up."""
+    tables = [(_fixed(x["text"], x["sample"]), x["least"]) for x in pieces]
+    own = [strings for strings, _ in tables]
+    while len(tables) > 1:
+        tables = [_merged(*tables[i], *tables[i + 1]) if i + 1 < len(tables) else tables[i] for i in range(0, len(tables), 2)]
+    strings, least = tables[0]
+    for x, mine in zip(pieces, own):
+        x["least"] = least[np.searchsorted(strings, mine)]
+
+
+def _merged(a, least_a, b, least_b):
+    """Two sorted lists of strings with their least owners as one."""
+    if len(a) == 0 or len(b) == 0:
+        return (b, least_b) if len(a) == 0 else (a, least_a)
+    at = np.searchsorted(a, b)
+    hit = a[np.minimum(at, len(a) - 1)] == b
+    least_a = least_a.copy()
+    least_a[at[hit]] = np.minimum(least_a[at[hit]], least_b[hit])
+    return np.insert(a, at[~hit], b[~hit]), np.insert(least_a, at[~hit], least_b[~hit])
 
 
 def _cuts(anchor: np.ndarray, sizes: np.ndarray):
@@ -302,6 +308,7 @@ def _cuts(anchor: np.ndarray, sizes: np.ndarray):
 
 def _shard(key, table):
     """To each block: a bit for each of its segments, in order, that has windows that a smaller document has, then a bit for each window of those."""
+    tb.reuse_memory()
     block, parts = [], []
     for r in table.to_pylist():
         parts.append(_open_segments(r["payload"]))

@@ -29,6 +29,15 @@ def _return_memory() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
 
 
+def reuse_memory() -> None:
+    """Have arrays of up to 32 MB come from memory that was used before, of which 64 MB stay.
+
+    For workers whose arrays are small and many: new pages would cost them a third of their time."""
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "mallopt"):
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
+
+
 _return_memory()
 _MASK = (1 << 64) - 1
 
