@@ -85,8 +85,8 @@ def is_move_number(token: Column) -> Column:
 
 def opens_a_game(token: Column) -> Column:
     """Whether a token can be played from the start position: 16 pawn moves and 4 knight moves."""
-    pawn = token.rlike(r"^([a-h])2?[34][+#]?$") | token.rlike(r"^([a-h])2?\1[34][+#]?$")
-    return pawn | token.rlike(r"^N(?:b?1?[ac]3|g?1?[fh]3)[+#]?$")
+    pawn = token.rlike(r"^2?x?[a-h][34][+#]?$") | token.rlike(r"^([a-h])2?x?\1[34][+#]?$")
+    return pawn | token.rlike(r"^N(?:b?1?x?[ac]3|g?1?x?[fh]3)[+#]?$")
 
 
 def notation_signal(text: Column) -> Column:

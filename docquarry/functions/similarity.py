@@ -12,13 +12,17 @@ from pyspark.sql.functions import pandas_udf
 from docquarry.functions.text import space_tokens
 
 
-def lcs_length(a: str, b: str) -> int:
-    """Longest common subsequence, bit-parallel over one big integer for each row."""
-    if len(a) > len(b):
-        a, b = b, a
+def places(text: str) -> dict[str, int]:
+    """Where each character stands, as the bits of an integer."""
     at: dict[str, int] = {}
-    for i, c in enumerate(a):
+    for i, c in enumerate(text):
         at[c] = at.get(c, 0) | 1 << i
+    return at
+
+
+def lcs_length(a: str, b: str, at: dict[str, int] | None = None) -> int:
+    """Longest common subsequence, bit-parallel over one big integer for each character of b; at: places(a)."""
+    at = places(a) if at is None else at
     full = (1 << len(a)) - 1
     free = full
     for c in b:
@@ -27,29 +31,32 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - free.bit_count()
 
 
-def _indel(a: str, b: str) -> float:
+def indel(a: str, b: str, at: dict[str, int] | None = None) -> float:
     total = len(a) + len(b)
-    return 2 * lcs_length(a, b) / total if total else 1.0
+    return 2 * lcs_length(a, b, at) / total if total else 1.0
 
 
-def _jaro_winkler(a: str, b: str) -> float:
+def winkler(a: str, b: str, at: dict[str, int] | None = None) -> float:
+    """Jaro-Winkler; a character's partner is the lowest free bit in its reach; at: places(b)."""
     if a == b:
         return 1.0
     if not a or not b:
         return 0.0
+    at = places(b) if at is None else at
     reach = max(0, max(len(a), len(b)) // 2 - 1)
-    taken = [False] * len(b)
-    left: list[str] = []
+    window, free = (1 << 2 * reach + 1) - 1, (1 << len(b)) - 1
+    left, taken = [], []
     for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == c:
-                taken[j] = True
-                left.append(c)
-                break
+        hit = at.get(c, 0) & free & (window << i >> reach)
+        if hit:
+            low = hit & -hit
+            free ^= low
+            left.append(c)
+            taken.append(low)
     if not left:
         return 0.0
-    right = [c for c, t in zip(b, taken) if t]
-    swaps = sum(x != y for x, y in zip(left, right)) // 2
+    taken.sort()
+    swaps = sum(x != b[low.bit_length() - 1] for x, low in zip(left, taken)) // 2
     m = len(left)
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
     prefix = 0
@@ -63,13 +70,58 @@ def _jaro_winkler(a: str, b: str) -> float:
 @pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 * longest common subsequence / both lengths."""
-    return pd.Series([None if x is None or y is None else _indel(x, y) for x, y in zip(a, b)], dtype=float)
+    return pd.Series([None if x is None or y is None else indel(x, y) for x, y in zip(a, b)], dtype=float)
 
 
 @pandas_udf(T.DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro-Winkler with weight 0.1 on up to four prefix characters, from a Jaro of 0.7 on."""
-    return pd.Series([None if x is None or y is None else _jaro_winkler(x, y) for x, y in zip(a, b)], dtype=float)
+    return pd.Series([None if x is None or y is None else winkler(x, y) for x, y in zip(a, b)], dtype=float)
+
+
+#: Scores of a pair of texts, in the order of :func:`pair_scores`.
+SCORES = ("lev_ratio", "jaro", "dice", "tfidf_cosine", "jaccard_tokens")
+
+
+def pair_scores(batches):
+    """rep_a, rep_b and the five scores of pairs of texts (norm, terms, weights) in Arrow batches.
+
+    What is derived from one text (places of characters, counts, tokens, weights) is
+    derived once in a batch, however many pairs have it."""
+    import pyarrow as pa
+
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        known: dict[int, tuple] = {}
+        reps = {}
+        for side in "ab":
+            reps[side] = np.asarray(batch[f"rep_{side}"])
+            _, first = np.unique(reps[side], return_index=True)
+            part = batch.select([f"rep_{side}", side, f"terms_{side}", f"weights_{side}"]).take(pa.array(first))
+            for rep, text, terms, weights in zip(*(c.to_pylist() for c in part.columns)):
+                if rep not in known:
+                    known[rep] = (text, places(text), {w for w in text.split(" ") if w}, dict(zip(terms or (), weights or ())))
+        out = np.empty((len(SCORES), batch.num_rows))
+        for i, (x, y) in enumerate(zip(reps["a"].tolist(), reps["b"].tolist())):
+            (a, at_a, words_a, tf_a), (b, at_b, words_b, tf_b) = known[x], known[y]
+            get = at_b.get
+            common = 0
+            for c, bits in at_a.items():
+                if other := get(c):
+                    common += min(bits.bit_count(), other.bit_count())
+            both = len(words_a & words_b)
+            if len(tf_a) > len(tf_b):
+                tf_a, tf_b = tf_b, tf_a
+            get = tf_b.get
+            out[:, i] = (
+                indel(a, b, at_a),
+                winkler(a, b, at_b),
+                2 * common / (len(a) + len(b)) if a or b else 1.0,
+                sum([w * other for t, w in tf_a.items() if (other := get(t)) is not None]),
+                both / (len(words_a) + len(words_b) - both) if words_a or words_b else 1.0,
+            )
+        yield pa.record_batch([batch["rep_a"], batch["rep_b"], *map(pa.array, out)], names=["rep_a", "rep_b", *SCORES])
 
 
 def char_dice(a: Column, b: Column) -> Column:

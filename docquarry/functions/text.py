@@ -76,8 +76,8 @@ def space_tokens(text: Column) -> Column:
 
 def is_garbage(text: Column) -> Column:
     """Under three characters, or more than two fifths outside letters, digits and plain punctuation."""
-    t = F.coalesce(F.trim(text), F.lit(""))
-    odd = F.regexp_replace(t, "[a-zA-Z0-9çğıöşüÇĞİÖŞÜ.,:;\\-()\\s\"'&]", "")
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    odd = F.regexp_replace(t, "(?U)[\\x1c-\\x1fa-zA-Z0-9çğıöşüÇĞİÖŞÜ.,:;\\-()\\s\"'&]", "")
     return (F.length(t) < 3) | (F.length(odd) / F.length(t) > 0.40)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import similarity as sim
 from docquarry.functions.text import LINE_BREAK, collapse, normalize_fast, normalize_text, with_bigrams, word_tokens
+from docquarry.plans import materialize
 
 LEAST, MOST = 20, 300
 BUCKET_WIDTH, PREFIX, TOLERANCE = 10, 2, 10
@@ -55,12 +56,17 @@ def distinct_texts(lines: DataFrame) -> DataFrame:
     return lines.groupBy("norm").agg(F.min("line_id").alias("rep"))
 
 
+def paired(texts: DataFrame, *more: str) -> DataFrame:
+    """rep_a < rep_b, a, b of texts (rep, norm) that are candidates, with further columns of both."""
+    keyed = blocking_key(texts)
+    side = lambda x: keyed.select("bucket", "prefix", F.col("rep").alias(f"rep_{x}"), F.col("norm").alias(x), F.col("len").alias(f"len_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in more))
+    both = side("a").join(side("b"), ["bucket", "prefix"]).where("rep_a < rep_b").where(F.abs(F.col("len_a") - F.col("len_b")) <= TOLERANCE)
+    return both.select("rep_a", "rep_b", "a", "b", *(f"{c}_{x}" for c in more for x in "ab"))
+
+
 def distinct_pairs(lines: DataFrame) -> DataFrame:
     """rep_a < rep_b, a, b: candidate pairs of different texts, each once however many lines have them."""
-    keyed = blocking_key(distinct_texts(lines))
-    a = keyed.select("bucket", "prefix", F.col("rep").alias("rep_a"), F.col("norm").alias("a"), F.col("len").alias("len_a"))
-    b = keyed.select("bucket", "prefix", F.col("rep").alias("rep_b"), F.col("norm").alias("b"), F.col("len").alias("len_b"))
-    return a.join(b, ["bucket", "prefix"]).where("rep_a < rep_b").where(F.abs(F.col("len_a") - F.col("len_b")) <= TOLERANCE).select("rep_a", "rep_b", "a", "b")
+    return paired(distinct_texts(lines))
 
 
 def tfidf(lines: DataFrame) -> DataFrame:
@@ -86,15 +92,17 @@ def cosine(pairs: DataFrame, weights: DataFrame) -> DataFrame:
 def similarity_job(lines: DataFrame) -> DataFrame:
     """All candidate pairs of lines with the five scores, their mean and an unset threshold flag.
 
-    Pairs of different texts are scored once and joined back to their lines."""
-    lines = normalized(lines)
-    pairs = distinct_pairs(lines)
-    scored = pairs.select("rep_a", "rep_b", sim.indel_ratio("a", "b").alias("lev_ratio"), sim.jaro_winkler("a", "b").alias("jaro"), sim.char_dice(F.col("a"), F.col("b")).alias("dice"), sim.token_jaccard(F.col("a"), F.col("b")).alias("jaccard_tokens"))
-    scored = scored.join(cosine(pairs, tfidf(lines)), ["rep_a", "rep_b"])
+    Lines are normalised once and written.  Pairs of different texts are scored once, on
+    texts that bring their weights along, and joined back to their lines."""
+    lines = materialize.cut(normalized(lines).select("line_id", "norm"))
+    weights = tfidf(lines).groupBy("rep").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
+    texts = distinct_texts(lines).join(weights, "rep", "left")
+    pairs = paired(materialize.cut(texts), "terms", "weights")
+    scored = pairs.mapInArrow(sim.pair_scores, f"rep_a long, rep_b long, {', '.join(f'{c} double' for c in sim.SCORES)}")
     member = lines.join(distinct_texts(lines), "norm").select("line_id", "rep", "norm")
     x = member.select(F.col("line_id").alias("x"), F.col("rep").alias("rep_a"))
     y = member.select(F.col("line_id").alias("y"), F.col("rep").alias("rep_b"))
-    names = ["lev_ratio", "jaro", "dice", "tfidf_cosine", "jaccard_tokens"]
+    names = list(sim.SCORES)
     different = scored.join(x, "rep_a").join(y, "rep_b").select(F.least("x", "y").alias("line_id_a"), F.greatest("x", "y").alias("line_id_b"), *names)
     one = F.lit(1.0)
     has_word = F.when(F.col("norm").rlike(r"[\p{L}\p{N}_]"), 1.0).otherwise(0.0)

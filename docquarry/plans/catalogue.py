@@ -68,14 +68,8 @@ def normalize_text(t):
     return lines.normalized(_line_rows(t), exact=True).select("line_id", "norm")
 
 
-@query("SELECT doc_id, trim(regexp_replace(replace(replace(lower(trim(regexp_replace(left(text, 60), '\\s+', ' ', 'g'))), 'ß', 'ss'), 'i̇', 'i'), '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')) AS name FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(replace(replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss'), 'i̇', 'i'), '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')) AS name FROM documents")
 def normalize_name(t):
-    # its SQL reads 60 characters; normalize_name_whole reads all
-    return t("documents").select("doc_id", tx.normalize_name(F.left("text", F.lit(60))).alias("name"))
-
-
-@query()
-def normalize_name_whole(t):
     return t("documents").select("doc_id", tx.normalize_name(F.col("text")).alias("name"))
 
 
@@ -102,15 +96,12 @@ def char_dice_pairs(t):
     return lines.distinct_pairs(_norm_rows(t)).select("rep_a", "rep_b", F.round(similarity.char_dice(F.col("a"), F.col("b")), 6).alias("dice"))
 
 
-@query(f"WITH {_PAIRS} SELECT rep_a::BIGINT AS rep_a, rep_b::BIGINT AS rep_b, round(jaro_winkler_similarity(a, b), 6) AS jaro FROM pairs WHERE regexp_full_match(a || b, '[\\x00-\\x7F]*')")
-def jaro_winkler_pairs(t):
-    # DuckDB compares bytes: its SQL is on the pairs of plain ASCII; jaro_winkler_pairs_whole scores all
-    pairs = lines.distinct_pairs(_norm_rows(t)).where(F.concat("a", "b").rlike(r"^[\x00-\x7F]*$"))
-    return pairs.select("rep_a", "rep_b", F.round(similarity.jaro_winkler("a", "b"), 6).alias("jaro"))
+# DuckDB compares bytes: letters of two bytes become capitals, which normalised text has none of
+_BYTES = "translate({}, 'äàáâãåçèéêëìíîïñòóôõöøùúûü', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
 
 
-@query()
-def jaro_winkler_pairs_whole(t):
+@query(f"WITH {_PAIRS} SELECT rep_a::BIGINT AS rep_a, rep_b::BIGINT AS rep_b, round(jaro_winkler_similarity({_BYTES.format('a')}, {_BYTES.format('b')}), 6) AS jaro FROM pairs")
+def jaro_winkler_pairs(t):
     return lines.distinct_pairs(_norm_rows(t)).select("rep_a", "rep_b", F.round(similarity.jaro_winkler("a", "b"), 6).alias("jaro"))
 
 
@@ -243,14 +234,14 @@ def text_density(t):
     return t("documents").select("doc_id", F.round(tx.text_density(F.col("text")), 6).alias("density"))
 
 
-@query("SELECT conv_id, turn, length(trim(text)) < 3 OR length(regexp_replace(trim(text), '[a-zA-Z0-9çğıöşüÇĞİÖŞÜ.,:;\\-()\\s\"''&]', '', 'g')) / length(trim(text)) > 0.4 AS garbage FROM conversations UNION ALL SELECT doc_id, -1, length(trim(text)) < 3 OR length(regexp_replace(trim(text), '[a-zA-Z0-9çğıöşüÇĞİÖŞÜ.,:;\\-()\\s\"''&]', '', 'g')) / length(trim(text)) > 0.4 FROM documents")
+@query("""SELECT conv_id, turn, length(s) < 3 OR length(regexp_replace(s, '[a-zA-Z0-9çğıöşüÇĞİÖŞÜ.,:;\\-()\\t-\\r\\x1c-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"''&]', '', 'g')) / length(s) > 0.4 AS garbage FROM (SELECT *, regexp_replace(text, '^[\\t-\\r\\x1c-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+|[\\t-\\r\\x1c-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+$', '', 'g') AS s FROM conversations) UNION ALL SELECT doc_id, -1, length(s) < 3 OR length(regexp_replace(s, '[a-zA-Z0-9çğıöşüÇĞİÖŞÜ.,:;\\-()\\t-\\r\\x1c-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"''&]', '', 'g')) / length(s) > 0.4 AS garbage FROM (SELECT *, regexp_replace(text, '^[\\t-\\r\\x1c-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+|[\\t-\\r\\x1c-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+$', '', 'g') AS s FROM documents)""")
 def is_garbage(t):
     a = t("conversations").select("conv_id", "turn", tx.is_garbage(F.col("text")).alias("garbage"))
     return a.unionByName(t("documents").select(F.col("doc_id").alias("conv_id"), F.lit(-1).cast("long").alias("turn"), tx.is_garbage(F.col("text")).alias("garbage")))
 
 
 _TOKEN = r"(O-O-O|O-O|[KQRBN]?[a-h]?[1-8]?x?[a-h][1-8](?:=[QRBN])?[+#]?|\d+\.(?:\.\.)?)"
-_GAME = "replace(replace(replace(replace('1. e4 e5 2. Nf3 ' || url || ' ' || left(html, 400), '0-0-0', 'O-O-O'), '0-0', 'O-O'), 'o-o-o', 'O-O-O'), 'o-o', 'O-O')"
+_GAME = "replace(replace(replace(replace('1. e4 e5 2. Nf3 ' || url || ' ' || html, '0-0-0', 'O-O-O'), '0-0', 'O-O'), 'o-o-o', 'O-O-O'), 'o-o', 'O-O')"
 
 
 def _game(html: Column) -> Column:
@@ -259,27 +250,15 @@ def _game(html: Column) -> Column:
 
 @query(f"SELECT page_id, array_to_string(regexp_extract_all(trim(regexp_replace({_GAME}, '\\s+', ' ', 'g')), '{_TOKEN}', 1), ' ') AS tokens FROM pages")
 def chess_tokens(t):
-    # its SQL reads 400 characters of html; chess_tokens_whole reads all
-    return t("pages").select("page_id", F.array_join(chess.tokens(chess.normalize_chess(_game(F.left("html", F.lit(400))))), " ").alias("tokens"))
-
-
-@query()
-def chess_tokens_whole(t):
     return t("pages").select("page_id", F.array_join(chess.tokens(chess.normalize_chess(_game(F.col("html")))), " ").alias("tokens"))
 
 
 @query(f"""WITH k AS (SELECT page_id, regexp_extract_all(trim(regexp_replace({_GAME}, '\\s+', ' ', 'g')), '{_TOKEN}', 1) AS k FROM pages),
 c AS (SELECT page_id, len(list_filter(k, lambda x: regexp_full_match(x, '\\d+\\.(?:\\.\\.)?')))::INT AS numbers, len(list_filter(k, lambda x: NOT regexp_full_match(x, '\\d+\\.(?:\\.\\.)?')))::INT AS moves,
-len(list_filter(k, lambda x: regexp_full_match(x, '[a-h]2?[34][+#]?') OR regexp_full_match(x, 'a2?a[34][+#]?|b2?b[34][+#]?|c2?c[34][+#]?|d2?d[34][+#]?|e2?e[34][+#]?|f2?f[34][+#]?|g2?g[34][+#]?|h2?h[34][+#]?') OR regexp_full_match(x, 'N(?:b?1?[ac]3|g?1?[fh]3)[+#]?')))::INT AS valid FROM k),
+len(list_filter(k, lambda x: regexp_full_match(x, '(?:2?x?[a-h]|a2?x?a|b2?x?b|c2?x?c|d2?x?d|e2?x?e|f2?x?f|g2?x?g|h2?x?h)[34][+#]?') OR regexp_full_match(x, 'N(?:b?1?x?[ac]3|g?1?x?[fh]3)[+#]?')))::INT AS valid FROM k),
 s AS (SELECT *, round(numbers + 1.2 * moves + 1.5 * valid, 6)::DOUBLE AS signal FROM c)
 SELECT page_id, numbers, moves, valid, signal, ((numbers >= 3 AND moves >= 8) OR signal >= 18)::INT AS flag, CASE WHEN (numbers >= 3 AND moves >= 8) OR signal >= 18 THEN round(least(1.0, signal / 30.0), 4) ELSE 0 END::DOUBLE AS score FROM s""")
 def game_notation_score(t):
-    # its SQL reads 400 characters of html; game_notation_score_whole reads all
-    return t("pages").select("page_id", chess.notation_signal(_game(F.left("html", F.lit(400)))).alias("x")).select("page_id", "x.*")
-
-
-@query()
-def game_notation_score_whole(t):
     return t("pages").select("page_id", chess.notation_signal(_game(F.col("html"))).alias("x")).select("page_id", "x.*")
 
 

@@ -226,3 +226,21 @@ def test_document_types_know_all_terms_of_whole_texts(spark, tmp_path):
     got = catalogue.QUERIES["doc_classifier"](spark, str(tmp_path)).collect()
     names = {r.prediction: r.label for r in sorted(got, key=lambda r: r.n)}
     assert len(got) == len(names) == 2 and set(names.values()) == {"a", "b"}
+
+
+def test_opening_moves_with_captures_and_ranks(spark):
+    """Moves that the start position allows, with a stray capture mark, rank or file; others are none."""
+    from docquarry.functions import chess
+
+    legal = ["e4", "exe4", "e2xe4", "2e4", "xe4", "a3+", "Nxf3", "Ngxf3", "Nf3#", "N1c3", "Nb1xa3"]
+    other = ["dxe4", "d2e4", "e5", "Nd2", "Ngxc3", "Nbxf3", "e24", "O-O", "Bc4"]
+    df = spark.createDataFrame([(x,) for x in legal + other], "move string")
+    assert {r.move for r in df.where(chess.opens_a_game(F.col("move"))).collect()} == set(legal)
+
+
+def test_garbage_strips_all_white_space(spark):
+    from docquarry.functions import text as tx
+
+    rows = [("\nab\n", True), ("  ab　", True), ("\tabc\x1f", False), ("a_|b", True), ("a b c", False), (None, True), ("", True)]
+    df = spark.createDataFrame(rows, "t string, want boolean")
+    assert df.where(tx.is_garbage(F.col("t")) != F.col("want")).count() == 0
