@@ -45,6 +45,22 @@ def test_token_counts_of_a_piece_model(docs, rows):
     assert got == {i: (len(model.encode(t or "")),) for i, t in rows}
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_token_counts_of_cut_texts(monkeypatch, rows, name):
+    """Texts in many pieces have the tokens of the whole, for all vocabularies."""
+    import numpy as np
+
+    monkeypatch.setattr(token_counts, "PIECE_BYTES", 40)
+    monkeypatch.setattr(token_counts, "BATCH_BYTES", 300)
+    path = TOKENIZERS.path(name)
+    encode, _, cuts = token_counts._encoder(path)
+    assert cuts == {"w": "words", "b": "before", "p": "without"}[name[0]]
+    texts = [t or "" for _, t in rows] + ["a  b 1 2 x\u00a0y <|endoftext|> z  " * 30, "don't we'll I'm o'clock 3rd x1 y2 ... a " * 30, "no\nspace\tbetween " * 20, "\u00e9 a b\u0301 c " * 40]
+    raw = [t.encode() for t in texts]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])]
+    assert token_counts.block_counts(path, data, off).tolist() == encode(texts)
+
+
 def test_quality_base_counts(docs, rows, empty):
     path = TOKENIZERS.path("piece_bpe_32k.model")
     got = by_id(fertility.quality(docs, path), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
