@@ -55,6 +55,13 @@ def top_k(df: DataFrame, part: list[str], order: list, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def top_share(df: DataFrame, part: list[str], order: list, *, least: int, share: float = 0.15) -> DataFrame:
+    """The first rows of each part: a share of them, rounded down, but ``least``; parts of fewer have none."""
+    w = Window.partitionBy(*part)
+    ranked = df.withColumn("rank", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count(F.lit(1)).over(w))
+    return ranked.where((F.col("_n") >= least) & (F.col("rank") <= F.greatest(F.lit(least), F.floor(F.col("_n") * share)))).drop("_n")
+
+
 def top_values(df: DataFrame, part: list[str], value: str, seen: str, k: int) -> DataFrame:
     """The k most frequent values of each part with count and share; ties by first appearance."""
     counts = df.groupBy(*part, value).agg(F.count(F.lit(1)).alias("n"), F.min(seen).alias("_first"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquarry.functions import chess, persons, similarity
+from docquarry.functions import chess, geometry, persons, similarity
 from docquarry.functions import text as tx
 from docquarry.operators import decisions, dml, doctypes, entities, fen, lines, relational, windows
 
@@ -485,6 +485,41 @@ def top_boxes(t):
     return got.select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", "rank")
 
 
+# ---- geometry and shares of the best
+
+_LINES_OF = "SELECT l_orderkey, l_linenumber, (l_partkey % 97)::DOUBLE AS x1, (l_suppkey % 13)::DOUBLE AS y1, (l_orderkey % 83)::DOUBLE AS x2, (l_linenumber * 5 % 13)::DOUBLE AS y2, (l_orderkey % 7)::DOUBLE AS x3, (l_partkey % 11)::DOUBLE AS y3, (l_suppkey % 5)::DOUBLE AS x4, (l_linenumber)::DOUBLE AS y4 FROM lineitem"
+
+
+def _line_points(t) -> DataFrame:
+    made = {"x1": "l_partkey % 97", "y1": "l_suppkey % 13", "x2": "l_orderkey % 83", "y2": "l_linenumber * 5 % 13", "x3": "l_orderkey % 7", "y3": "l_partkey % 11", "x4": "l_suppkey % 5", "y4": "l_linenumber"}
+    return t("lineitem").select("l_orderkey", "l_linenumber", *(F.expr(f"cast({rule} as double)").alias(name) for name, rule in made.items()))
+
+
+@query(f"""WITH p AS ({_LINES_OF}), c AS (SELECT *, (x2 - x1) * (y4 - y3) - (y2 - y1) * (x4 - x3) AS den FROM p), s AS (SELECT *, CASE WHEN abs(den) < 1e-6 THEN 'NaN'::DOUBLE ELSE ((x3 - x1) * (y4 - y3) - (y3 - y1) * (x4 - x3)) / den END AS s FROM c)
+SELECT l_orderkey, l_linenumber, round(((degrees(atan2(y2 - y1, x2 - x1)) % 180) + 180) % 180, 6) AS angle, round(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 6) AS length, isnan(s) AS parallel, CASE WHEN NOT isnan(s) THEN round(x1 + s * (x2 - x1), 4) + 0.0 END AS x, CASE WHEN NOT isnan(s) THEN round(y1 + s * (y2 - y1), 4) + 0.0 END AS y FROM s""")
+def line_geometry(t):
+    first, second = ([F.col(f"{axis}{i}") for i in ends for axis in "xy"] for ends in ((1, 2), (3, 4)))
+    met = _line_points(t).withColumn("p", geometry.intersection(first, second))
+    place = lambda axis: F.when(~F.isnan(f"p.{axis}"), F.round(f"p.{axis}", 4)).alias(axis)
+    return met.select("l_orderkey", "l_linenumber", F.round(geometry.angle(*first), 6).alias("angle"), F.round(geometry.length(*first), 6).alias("length"), F.isnan("p.x").alias("parallel"), place("x"), place("y"))
+
+
+@query(f"""WITH p AS (SELECT *, row_number() OVER () AS n FROM ({_LINES_OF})), q AS (SELECT n, l_orderkey, l_linenumber, unnest([{{'i': 0, 'x': x1, 'y': y1}}, {{'i': 1, 'x': x2, 'y': y2}}, {{'i': 2, 'x': x3, 'y': y3}}, {{'i': 3, 'x': x4, 'y': y4}}]) AS c FROM p),
+r AS (SELECT n, l_orderkey, l_linenumber, c.i AS i, c.x AS x, c.y AS y FROM q)
+SELECT any_value(l_orderkey) AS l_orderkey, any_value(l_linenumber) AS l_linenumber, first(x || ',' || y ORDER BY x + y, i) AS top_left, first(x || ',' || y ORDER BY y - x, i) AS top_right, first(x || ',' || y ORDER BY x + y DESC, i) AS bottom_right, first(x || ',' || y ORDER BY y - x DESC, i) AS bottom_left FROM r GROUP BY n""")
+def corner_order(t):
+    points = F.array(*(F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in range(1, 5)))
+    at = _line_points(t).withColumn("c", geometry.corners(points))
+    named = lambda name: F.concat_ws(",", F.col(f"c.{name}.x").cast("string"), F.col(f"c.{name}.y").cast("string")).alias(name)
+    return at.select("l_orderkey", "l_linenumber", *map(named, ("top_left", "top_right", "bottom_right", "bottom_left")))
+
+
+@query("SELECT l_suppkey, l_orderkey, l_linenumber, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS rank, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem) WHERE n >= 12 AND rank <= greatest(12, floor(n * 0.15::DOUBLE))")
+def top_share_of_matches(t):
+    got = relational.top_share(t("lineitem"), ["l_suppkey"], [F.asc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")], least=12)
+    return got.select("l_suppkey", "l_orderkey", "l_linenumber", "rank")
+
+
 # ---- table changes
 
 _SOURCE = "src AS (SELECT doc_id, source, n_chars, doc_id % 7 AS w FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'again', n_chars + 1, 8 FROM documents WHERE doc_id % 4 = 0), tgt AS (SELECT doc_id, source, n_chars FROM documents WHERE doc_id % 3 = 0)"

@@ -244,3 +244,19 @@ def test_garbage_strips_all_white_space(spark):
     rows = [("\nab\n", True), ("  ab　", True), ("\tabc\x1f", False), ("a_|b", True), ("a b c", False), (None, True), ("", True)]
     df = spark.createDataFrame(rows, "t string, want boolean")
     assert df.where(tx.is_garbage(F.col("t")) != F.col("want")).count() == 0
+
+
+def test_lines_meet(spark):
+    from docquarry.functions import geometry
+
+    lit = lambda *x: tuple(F.lit(float(v)) for v in x)
+    row = spark.range(1).select(
+        geometry.intersection(lit(0, 0, 4, 4), lit(0, 4, 4, 0)).alias("p"),
+        geometry.intersection(lit(0, 0, 1, 1), lit(0, 1, 1, 2)).alias("q"),
+        geometry.angle(*lit(0, 0, -1, 1)).alias("a"),
+        geometry.angle(*lit(3, 0, 0, 0)).alias("b"),
+        geometry.length(*lit(0, 0, 3, 4)).alias("n"),
+        geometry.corners(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((9, 8), (1, 9), (0, 0), (8, 1))))).alias("c"),
+    ).first()
+    assert (row.p.x, row.p.y) == (2.0, 2.0) and row.q.x != row.q.x and (row.a, row.b, row.n) == (135.0, 0.0, 5.0)
+    assert [tuple(row.c[k]) for k in ("top_left", "top_right", "bottom_right", "bottom_left")] == [(0, 0), (8, 1), (9, 8), (1, 9)]
