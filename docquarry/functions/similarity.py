@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from docquarry.functions.pixels import resize
 from docquarry.functions.text import space_tokens
 
 
@@ -153,11 +154,13 @@ def hash_similarity(a: Column, b: Column) -> Column:
 
 
 def ssim(a: np.ndarray, b: np.ndarray, window: int = 7) -> float:
-    """Mean structural similarity of two grey images (0 to 255), or of one and the other's negative if that is more."""
+    """Mean structural similarity of two grey images (0 to 255), or of one and the other's negative if that is more.
+
+    Images of different sizes are brought to the lesser height and width by area."""
     h, w = min(a.shape[0], b.shape[0]), min(a.shape[1], b.shape[1])
     if min(h, w) < window:
         return 0.0
-    a, b = a[:h, :w].astype(float), b[:h, :w].astype(float)
+    a, b = (resize(x, w, h, "area").astype(float) for x in (a, b))
 
     def mean(x):
         s = np.pad(x.cumsum(0).cumsum(1), ((1, 0), (1, 0)))

@@ -128,3 +128,12 @@ def unpack_index(packed: Column) -> tuple[Column, Column]:
 def thumbnail_name(filename: Column, page: Column, packed: Column) -> Column:
     image, rect = unpack_index(packed)
     return F.concat(F.concat_ws("_", stem(filename), F.concat(F.lit("p"), page.cast("string")), image.cast("string"), rect.cast("string")), F.lit(".png"))
+
+
+def now() -> Column:
+    """The time at which the query began, one for all rows."""
+    return F.current_timestamp()
+
+
+def now_seconds() -> Column:
+    return F.unix_timestamp()

@@ -6,6 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StringIndexer
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from docquarry.operators.decisions import split_policy
 
@@ -32,3 +33,18 @@ def train(rows: DataFrame, *, model: str = "svm", seed: int = 42) -> tuple[Pipel
     fit, test = rows.randomSplit([1 - held / n, held / n], seed=seed)
     fitted = pipeline(model).fit(fit)
     return fitted, fitted.transform(test)
+
+
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def predict_types(model: PipelineModel, rows: DataFrame, ident: str) -> DataFrame:
+    """ident, doc_type of rows with a text; blank or null ones are left out, for dml.update."""
+    names = next(s.labels for s in model.stages if hasattr(s, "labels"))
+    said = model.transform(rows.select(ident, "text").where("trim(text) <> ''"))
+    return said.select(ident, F.get(F.array(*map(F.lit, names)), F.col("prediction").cast("int")).alias("doc_type"))

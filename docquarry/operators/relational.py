@@ -106,3 +106,18 @@ def entropy(share: Column) -> Column:
 def metric(df: DataFrame, names: list[str]) -> str:
     """The first of the names that df has as a column."""
     return next(c for c in names if c in df.columns)
+
+
+def child_counts(df: DataFrame, parent: str, *, above: int = 50, below: int = 100) -> DataFrame:
+    """parent, children: rows that name a parent, where their number lies between the bounds; null is no parent."""
+    return df.where(F.col(parent).isNotNull()).groupBy(parent).agg(F.count(F.lit(1)).alias("children")).where((F.col("children") > above) & (F.col("children") < below))
+
+
+def run_counters(df: DataFrame, **conditions: Column) -> DataFrame:
+    """One row with the number of rows that meet each condition; zeros for an empty table."""
+    return df.agg(*(F.count_if(c).alias(name) for name, c in conditions.items()))
+
+
+def observed(df: DataFrame, observation, **conditions: Column) -> DataFrame:
+    """df, whose next action leaves the counters in a pyspark Observation, with no pass of its own."""
+    return df.observe(observation, *(F.count_if(c).alias(name) for name, c in conditions.items()))

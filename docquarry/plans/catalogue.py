@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquarry.functions import chess, geometry, persons, similarity
+from docquarry.functions import chess, geometry, images, persons, similarity
+from docquarry.functions import sql as named
 from docquarry.functions import text as tx
 from docquarry.operators import decisions, dml, doctypes, entities, fen, lines, relational, windows
+from docquarry.operators import images as picture_jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -568,6 +570,96 @@ def replace_partition(t):
     return dml.replace_partition(docs, new, "source")
 
 
+# ---- images: grids of the embeddings, written as PNG and read again
+
+_LEVELS = "list_transform(embedding::DOUBLE[], lambda x: floor(abs(x) * 1000)::BIGINT % 256)"
+_MARKED = f"marked AS (SELECT vec_id, i, i % 8 AS x, i // 8 AS y FROM (SELECT vec_id, unnest(range(0, 64)) AS i, unnest({_LEVELS}[1:64]) AS v FROM embeddings) WHERE v > 128)"
+
+
+def _levels(n: int = 64) -> Column:
+    return F.transform(F.slice("embedding", 1, n), lambda x: (F.floor(F.abs(x.cast("double")) * 1000) % 256).cast("int"))
+
+
+def _pictures(t) -> DataFrame:
+    """vec_id, label, blob: 8 x 8 grey images."""
+    return t("embeddings").select("vec_id", "label", images.grey_png(_levels(), F.lit(8)).alias("blob"))
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: (floor(abs(x) * 1000)::BIGINT % 2) * 200) AS c, unnest(range(0, 21)) AS i FROM embeddings),
+p AS (SELECT vec_id, i, c[i * 3 + 1] AS r, c[i * 3 + 2] AS g, c[i * 3 + 3] AS b FROM v), k AS (SELECT vec_id, r, g, b, count(*) AS n, min(i) AS seen FROM p GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, seen) AS rank FROM k), f AS (SELECT vec_id, bool_and(r = g AND g = b) AS grey FROM p GROUP BY vec_id)
+SELECT vec_id, 7 AS width, 3 AS height, round(7 / 3.0::DOUBLE, 6) AS aspect_ratio, 0 AS is_square, grey::INT AS is_grayscale,
+CASE WHEN NOT grey THEN '[' || string_agg('[[' || r || ', ' || g || ', ' || b || '], ' || round(n / 21.0::DOUBLE, 4) || ']', ', ' ORDER BY rank) || ']' END AS top_colors FROM o JOIN f USING (vec_id) WHERE rank <= 5 GROUP BY vec_id, grey""")
+def image_features(t):
+    values = F.transform(F.slice("embedding", 1, 63), lambda x: (F.floor(F.abs(x.cast("double")) * 1000) % 2 * 200).cast("int"))
+    rows = t("embeddings").select("vec_id", images.colour_png(values, F.lit(7)).alias("blob"))
+    return rows.select("vec_id", images.features(F.col("blob")).alias("f")).select("vec_id", "f.*")
+
+
+@query(f"""WITH p AS (SELECT vec_id, unnest({_LEVELS}[1:64]) AS v FROM embeddings), l AS (SELECT vec_id, t, count(*) FILTER (v <= t) AS below, count(*) FILTER (v > t) AS above, coalesce(sum(v) FILTER (v <= t), 0) AS low, coalesce(sum(v) FILTER (v > t), 0) AS high FROM p, range(0, 256) r(t) GROUP BY vec_id, t),
+s AS (SELECT *, CASE WHEN below = 0 OR above = 0 THEN 0 ELSE below * above * pow(low / below::DOUBLE - high / above::DOUBLE, 2) END AS apart FROM l), b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(apart, 6) DESC, t) AS rank FROM s)
+SELECT vec_id, t::INT AS level, b.above::BIGINT AS above, (SELECT count(*) FROM p WHERE p.vec_id = b.vec_id AND v > 128)::BIGINT AS over FROM b WHERE rank = 1""")
+def image_thresholds(t):
+    return _pictures(t).select("vec_id", images.thresholds("blob").alias("t")).select("vec_id", "t.*")
+
+
+@query(f"""WITH RECURSIVE {_MARKED}, near AS (SELECT a.vec_id, a.i, b.i AS j FROM marked a JOIN marked b ON a.vec_id = b.vec_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+reach AS (SELECT vec_id, i, i AS j FROM marked UNION SELECT r.vec_id, r.i, n.j FROM reach r JOIN near n ON r.vec_id = n.vec_id AND r.j = n.i), root AS (SELECT vec_id, i, min(j) AS root FROM reach GROUP BY vec_id, i),
+boxes AS (SELECT m.vec_id, root, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height, count(*) AS area FROM marked m JOIN root r ON m.vec_id = r.vec_id AND m.i = r.i GROUP BY m.vec_id, root),
+k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY width * height DESC, root) AS rank FROM boxes WHERE width >= 2 AND height >= 2 AND area BETWEEN 64 * 0.05 AND 64 * 0.7 AND width / height::DOUBLE BETWEEN 0.5 AND 2.2)
+SELECT vec_id, rank::INT AS rank, x::INT AS x, y::INT AS y, width::INT AS width, height::INT AS height, area::INT AS area FROM k WHERE rank <= 3""")
+def candidate_regions(t):
+    return picture_jobs.candidate_boxes(_pictures(t), "vec_id", images.bright_regions("blob"), share=(0.05, 0.7), side=2, aspect=(0.5, 2.2), most=3)
+
+
+@query(f"""WITH p AS (SELECT vec_id, {_LEVELS} AS v, vec_id % 7 AS x, vec_id % 5 AS y FROM embeddings), c AS (SELECT vec_id, v, greatest(0, x - 1) AS x0, least(8, x + 4) AS x1, greatest(0, y - 1) AS y0, least(8, y + 3) AS y1 FROM p)
+SELECT vec_id, (x1 - x0 + 50)::INT AS width, (y1 - y0 + 50)::INT AS height, (list_sum(list_transform(list_filter(range(0, 64), lambda i: i % 8 >= x0 AND i % 8 < x1 AND i // 8 >= y0 AND i // 8 < y1), lambda i: v[i + 1])) + 255 * ((x1 - x0 + 50) * (y1 - y0 + 50) - (x1 - x0) * (y1 - y0)))::BIGINT AS total FROM c""")
+def image_crops(t):
+    cut = images.cropped("blob", (F.col("vec_id") % 7).cast("int"), (F.col("vec_id") % 5).cast("int"), F.lit(3), F.lit(2), F.lit(1))
+    rows = _pictures(t).select("vec_id", images.framed(cut, F.lit(25)).alias("blob"))
+    rows = rows.select("vec_id", images.features(F.col("blob")).alias("f"), images.grey_levels("blob").alias("v"))
+    return rows.select("vec_id", "f.width", "f.height", F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+
+
+@query("""WITH d AS (SELECT vec_id, label, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS other, list_transform(range(0, 8), lambda j: list_sum(list_transform(range(0, 8), lambda i: CASE WHEN embedding[j * 8 + i + 1] > 0 THEN 1 << i ELSE 0 END))::BIGINT) AS b FROM embeddings),
+m AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, i, j, bit_count(xor(a.b[i + 1], b.b[j + 1])) AS dist FROM d a JOIN d b ON a.other = b.vec_id, range(0, 8) r(i), range(0, 8) s(j)),
+k AS (SELECT *, row_number() OVER (PARTITION BY id_a, i ORDER BY dist, j) AS there, row_number() OVER (PARTITION BY id_a, j ORDER BY dist, i) AS back, lead(dist) OVER (PARTITION BY id_a, i ORDER BY dist, j) AS second FROM m)
+SELECT id_a, id_b, count_if(there = 1 AND back = 1)::INT AS n, sum(CASE WHEN there = 1 AND back = 1 THEN dist ELSE 0 END)::BIGINT AS total, count_if(there = 1 AND dist < 0.75 * second)::INT AS clear FROM k GROUP BY id_a, id_b""")
+def descriptor_matches(t):
+    bits = lambda j: F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0), lambda s, i: s + F.when(F.get("embedding", j * 8 + i) > 0, F.pow(F.lit(2), i).cast("int")).otherwise(0))
+    packed = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.lpad(F.hex(bits(j)), 2, "0")), ""))
+    pairs = windows.window_pairs(t("embeddings").withColumn("d", packed), ["label"], [], "vec_id", k=1, carry=["d"])
+    return pairs.select("id_a", "id_b", images.descriptor_matches(F.col("a_d"), F.col("b_d"), 1).alias("m")).select("id_a", "id_b", "m.*")
+
+
+@query("SELECT l_partkey, count(*)::BIGINT AS children FROM lineitem WHERE l_partkey IS NOT NULL GROUP BY l_partkey HAVING count(*) > 20 AND count(*) < 35")
+def child_counts(t):
+    return relational.child_counts(t("lineitem"), "l_partkey", above=20, below=35)
+
+
+@query("SELECT count_if(quality IS NOT NULL)::BIGINT AS inserted, count_if(quality IS NULL)::BIGINT AS skipped, count_if(quality = 0)::BIGINT AS failed, count_if(toxic = 1)::BIGINT AS detected FROM documents LEFT JOIN labels USING (doc_id)")
+def run_counters(t):
+    q = F.col("quality")
+    return relational.run_counters(t("documents").join(t("labels"), "doc_id", "left"), inserted=q.isNotNull(), skipped=q.isNull(), failed=q == 0, detected=F.col("toxic") == 1)
+
+
+@query("SELECT l_orderkey, l_linenumber, 1 - bit_count(xor(l_partkey, l_suppkey)) / 64.0::DOUBLE AS near, greatest(0, least(1, l_discount * 15))::DOUBLE AS share, l_partkey * 1000 + l_linenumber AS packed FROM lineitem")
+def sql_functions(t):
+    rows = t("lineitem")
+    named.register(rows.sparkSession)
+    by_name = {"near": "hash_similarity(l_partkey, l_suppkey)", "share": "clamp_share(l_discount * 15)", "packed": "pack_index(l_partkey, l_linenumber)"}
+    return rows.select("l_orderkey", "l_linenumber", *(F.expr(text).alias(name) for name, text in by_name.items()))
+
+
+@query()
+def image_pair_job(t):
+    """Labels of neighbouring images; one in eleven cannot be read, one in seven repeats the file hash of its group."""
+    blob = F.when(F.col("vec_id") % 11 == 0, F.lit("x").cast("binary")).otherwise(F.col("blob"))
+    sha = F.when(F.col("vec_id") % 7 == 0, F.sha2(F.col("label").cast("string"), 256)).otherwise(F.sha2("blob", 256))
+    rows = _pictures(t).select("vec_id", "label", blob.alias("blob"), sha.alias("sha256"))
+    return picture_jobs.similarity_job(rows, part=["label"], order=["vec_id"], ident="vec_id", gate=0.5)
+
+
 # ---- models
 
 

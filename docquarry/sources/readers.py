@@ -30,6 +30,17 @@ def images_by_folder(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "content", F.element_at(F.split("path", "/"), -2).alias("label"))
 
 
+def image_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path, width, height, mode, data of a folder's images by extension, decoded in the JVM; broken files go."""
+    files = spark.read.format("image").option("dropInvalid", "true").load(folder).select("image.*")
+    return listed(files.withColumnRenamed("origin", "path"), "path", *IMAGES).select("path", "width", "height", "mode", "data")
+
+
+def listed(files: DataFrame, path: str, *extensions: str) -> DataFrame:
+    """Files of some extensions, in whichever case."""
+    return files.where(F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1)).isin(*extensions))
+
+
 def training_subset(df: DataFrame, ident: str, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(training, validation) by a hash of the id, so a row keeps its side."""
     side = F.pmod(F.xxhash64(ident), F.lit(1000)) < int(share * 1000)
