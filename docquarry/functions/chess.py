@@ -63,7 +63,7 @@ def split_moves(text: Column) -> Column:
 
 
 def remove_noise(text: Column) -> Column:
-    bare = reduce(lambda t, w: F.regexp_replace(t, rf"(?iU)\b{w}\b", " "), NOISE, text)
+    bare = F.regexp_replace(text, rf"(?iU)\b(?:{'|'.join(NOISE)})\b", " ")
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 

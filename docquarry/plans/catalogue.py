@@ -184,7 +184,12 @@ def vector_norms(t):
     return t("embeddings").select("vec_id", F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), 4).alias("norm"))
 
 
-@query()
+@query("""WITH g AS (SELECT vec_id, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS other, list_transform(embedding, lambda x: (x::DOUBLE + 1) * 127.5) AS g FROM embeddings),
+p AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, a.g AS a, b.g AS b FROM g a JOIN g b ON a.other = b.vec_id),
+v AS (SELECT id_a, id_b, w, neg, a[i + 1] AS x, CASE WHEN neg THEN 255 - b[i + 1] ELSE b[i + 1] END AS y FROM p, range(0, 64) r(i), range(0, 4) s(w), (VALUES (true), (false)) n(neg) WHERE i % 8 BETWEEN w % 2 AND w % 2 + 6 AND i // 8 BETWEEN w // 2 AND w // 2 + 6),
+m AS (SELECT id_a, id_b, neg, w, avg(x) AS mx, avg(y) AS my, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS vxy FROM v GROUP BY ALL),
+s AS (SELECT id_a, id_b, neg, avg((2 * mx * my + 6.5025) * (2 * vxy + 58.5225) / ((mx * mx + my * my + 6.5025) * (vx + vy + 58.5225))) AS s FROM m GROUP BY ALL)
+SELECT id_a, id_b, round(greatest(0, least(1, max(s))), 6) AS ssim FROM s GROUP BY id_a, id_b""")
 def grid_ssim_pairs(t):
     rows = t("embeddings").withColumn("g", F.transform("embedding", lambda x: (x + 1) * 127.5))
     pairs = windows.window_pairs(rows, ["label"], [], "vec_id", k=1, carry=["g"])
@@ -264,7 +269,25 @@ def game_notation_score(t):
     return t("pages").select("page_id", chess.notation_signal(_game(F.col("html"))).alias("x")).select("page_id", "x.*")
 
 
-@query()
+def _sql_chain(text: str, *steps: tuple[str, str]) -> str:
+    for pattern, put in steps:
+        text = f"regexp_replace({text}, '{pattern}', '{put}', 'g')"
+    return text
+
+
+def _notation_sql() -> str:
+    literal = "'1.e4 ' || text"
+    for old, put in (("0-0-0", "O-O-O"), ("0-0", "O-O"), ("o-o-o", "O-O-O"), ("o-o", "O-O"), ("§", "5"), ("|", "1"), ("l", "1"), ("—", "-"), ("–", "-")):
+        literal = f"replace({literal}, '{old}', '{put}')"
+    squares = _sql_chain(literal, (r"\b8([a-hx])", r"B\1"), (r"\b8([a-h][1-8])", r"B\1"), (r"(\s)8([a-h])", r"\1B\2"), (r"\b0-0-0\b", "O-O-O"), (r"\b0-0\b", "O-O"), (r"([a-h][1-8])[1-8]+", r"\1"), (r"([KQRBN]?[a-h]?x?[a-h][1-8])[1-8]+", r"\1"))
+    kept = f"trim({_sql_chain(f"translate({squares}, '♔♚♕♛♖♜♗♝♘♞♙♟', 'KKQQRRBBNN')", (r'[^KQRBNa-hxO0-9.\-+#=:/ ]', ' '), (r'\s+', ' '))})"
+    numbers = _sql_chain(kept, (r"(\d+)\.([KQRBNa-hO])", r"\1. \2"), (r"(\d+)\.\.\.([KQRBNa-hO])", r"\1... \2"), (r"(^|\s)\.\.([KQRBNa-hO])", r"\1\2"), (r"([a-h1-8])([KQRBN])", r"\1 \2"), (r"([+#])([KQRBNa-hO])", r"\1 \2"))
+    words = "attacking attack defence defending check from the and wins capture square mate threat idea with after white black".split()
+    bare = _sql_chain(numbers, *((rf"(?i)\b{w}\b", " ") for w in words), (r"\s+", " "))
+    return f"SELECT doc_id, line FROM (SELECT doc_id, trim({bare}) AS line FROM documents) WHERE length(line) >= 4 AND regexp_matches(line, '[a-h][1-8]')"
+
+
+@query(_notation_sql())
 def notation_lines(t):
     raw = F.concat(F.lit("1.e4 "), "text")
     return t("documents").select("doc_id", chess.notation_line(raw).alias("line")).where("line is not null")
@@ -323,12 +346,26 @@ def argmax_class(t):
 _CAP = "[A-ZÇĞİÖŞÜ][a-zçğıöşü]{2,}"
 
 
-@query()
+# every word stands between two marks, so that what is found consists of whole words
+_NAMED = f"""{_LINES}, marked AS (SELECT line_id, regexp_replace(text, '([\\p{{L}}\\p{{N}}_]+)', '<\\1>', 'g') AS m FROM (SELECT line_id, translate(text, '<>', chr(1) || chr(2)) AS text FROM lines)),
+found AS (SELECT line_id, list_transform(regexp_extract_all(m, '<{_CAP}>(?:\\s+<{_CAP}>){{1,3}}'), lambda x: translate(x, '<>', '')) AS found FROM marked)"""
+
+
+@query(f"WITH {_NAMED} SELECT line_id, array_to_string(found, '|') AS names FROM found WHERE len(found) > 0")
 def person_candidates(t):
     return _line_rows(t).select("line_id", F.array_join(persons.person_candidates(F.col("text")), "|").alias("names")).where("names <> ''")
 
 
-@query()
+_LISTED = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+@query(f"""WITH {_NAMED}, raw AS (SELECT DISTINCT line_id, raw FROM (SELECT line_id, unnest(found) AS raw FROM found)),
+low AS (SELECT *, list_filter(string_split(replace(lower(regexp_replace(raw, '\\s+', ' ', 'g')), 'ß', 'ss'), ' '), lambda w: NOT list_contains({_LISTED(tx.TITLES)}, w)) AS kept FROM raw),
+norm AS (SELECT line_id, raw, regexp_replace(replace(array_to_string(kept, ' '), 'i̇', 'i'), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g') AS norm FROM low),
+words AS (SELECT *, list_filter(string_split(norm, ' '), lambda w: w <> '') AS w FROM norm),
+taken AS (SELECT * FROM words WHERE len(w) >= 2 AND NOT list_contains({_LISTED(persons.INSTITUTION_TAILS)}, w[-1]) AND len(list_filter(w, lambda x: NOT list_contains({_LISTED(persons.DOMAIN_WORDS)}, x))) > 0),
+people AS (SELECT norm, row_number() OVER (ORDER BY first, norm) AS person_id FROM (SELECT norm, min(line_id) AS first FROM taken GROUP BY norm))
+SELECT DISTINCT person_id::BIGINT AS person_id, line_id::BIGINT AS line_id, raw AS raw_name FROM taken JOIN people USING (norm)""")
 def person_mentions(t):
     rows = entities.person_rows(_line_rows(t))
     return entities.mentions(rows, entities.persons(rows))
