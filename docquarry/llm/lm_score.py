@@ -1,14 +1,16 @@
 """LM scoring: stupid-backoff scores from count tables partitioned by hash.
 
-The model is a bigram model over words (runs of non-space, unchanged), counted over
-all documents.  A document is scored by what the other documents say: its own
-counts are taken off first, so that it does not vouch for itself.  With c the
-counts left, N the words left and a = 0.4, a word w after v scores
+The model is an n-gram model over words (runs of non-space, unchanged), counted over
+all documents; its order, the longest n-gram, is a parameter (the query takes 2).  A
+document is scored by what the other documents say: its own counts are taken off
+first, so that it does not vouch for itself.  With c the counts left, N the words left
+and a = 0.4, a word w after the words v scores
 
-    c(v w) / c(v)  if c(v w) > 0,  else  a * c(w) / N  if c(w) > 0,  else  a * a / N,
+    S(w | v) = c(v w) / c(v)  if c(v w) > 0,  else  a * S(w | v without its first word),
+    S(w) = c(w) / N  if c(w) > 0,  else  a / N,
 
-a document's first word the same from the second case on, without the first a.
-A document's score is the sum of the base-10 logarithms.
+with v the order - 1 words before, or as many as the document has.  A document's score
+is the sum of the base-10 logarithms.
 
 The tables are kept as packed arrays: each block of documents sends its distinct
 n-grams with their counts to the hash buckets once, so that a frequent n-gram is
@@ -50,31 +52,45 @@ def _unpack_counts(raw: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _grams(table: pa.Table):
-    """(documents' word counts, document of words, word keys, places of second words, bigram keys) of a sorted block."""
+def _grams(table: pa.Table, order: int):
+    """(documents' word counts, document of words, levels) of a sorted block.
+
+    A level m holds the places of the words that have m words before them and the keys
+    of the n-grams that end there."""
     data, off = tb.text_buffers(table["text"])
     starts, ends, doc = tb.word_spans(data, off, tb.SPACE)
     word = tb.span_hash(tb.prefix_sums(tb.BYTE_VALUES[data]), starts, ends)
-    second = np.flatnonzero(np.r_[False, doc[1:] == doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-    pair = tb.mix(tb.mix(word[second - 1] + U(0x632BE59BD9B4E019)) ^ word[second])
-    return np.bincount(doc, minlength=len(off) - 1), doc, word, second, pair
+    levels = [(np.arange(len(doc)), word)]
+    for m in range(1, order):
+        at, keys = levels[-1]
+        longer = np.flatnonzero(doc[m:] == doc[:-m]) + m
+        before = keys[_places(at, longer - 1)]
+        levels.append((longer, tb.mix(tb.mix(before + U(0x632BE59BD9B4E019)) ^ word[longer])))
+    return np.bincount(doc, minlength=len(off) - 1), doc, levels
+
+
+def _places(at: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where the wanted places stand among those of a level; all are there."""
+    whole = len(at) == 0 or at[-1] == len(at) - 1
+    return wanted if whole else np.searchsorted(at, wanted)
 
 
-def _ranked(word: np.ndarray, pair: np.ndarray, n: int):
-    """(bucket and low bits of the distinct keys, in order; number of each word's and pair's key; counts)."""
-    keys = np.concatenate([word, pair])
+def _ranked(levels, n: int):
+    """(bucket and low bits of the distinct keys, in order; number of each n-gram's key by level; counts)."""
+    keys = np.concatenate([k for _, k in levels])
     distinct, which, counts = np.unique(keys, return_inverse=True, return_counts=True)
     bucket = winnow.bucket_of(distinct, n)  # ascends with the key
     order = np.lexsort((distinct & _LOW, bucket))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    return bucket[order], (distinct & _LOW)[order], place[which], counts[order]
+    numbers = np.split(place[which], np.cumsum([len(k) for _, k in levels])[:-1])
+    return bucket[order], (distinct & _LOW)[order], numbers, counts[order]
 
 
-def _count_rows(n: int):
+def _count_rows(n: int, order: int):
     def run(key, table):
-        *_, word, _, pair = _grams(winnow.sorted_block(table))
-        bucket, low, _, counts = _ranked(word, pair, n)
+        *_, levels = _grams(winnow.sorted_block(table), order)
+        bucket, low, _, counts = _ranked(levels, n)
         cuts = np.searchsorted(bucket, np.arange(n + 1))
         rows = []
         for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
@@ -112,44 +128,52 @@ def _own(doc: np.ndarray, number: np.ndarray, most: int) -> np.ndarray:
     return counts[which]
 
 
-def _scores(n: int):
+def _scores(n: int, order: int):
     def run(key, docs, answers):
         docs = winnow.sorted_block(docs)
-        words, doc, word, second, pair = _grams(docs)
-        _, _, number, _ = _ranked(word, pair, n)
+        words, doc, levels = _grams(docs, order)
+        _, _, numbers, _ = _ranked(levels, n)
         rows = sorted(((r["bucket"], r["payload"]) for r in answers.to_pylist()), key=lambda x: x[0])
         total = np.concatenate([_unpack_counts(raw[4:], int.from_bytes(raw[:4], "little")) for _, raw in rows]) if rows else np.zeros(0, np.int64)
         most = len(total) + 1
-        one, two = number[: len(word)], number[len(word) :]
-        left1 = total[one] - _own(doc, one, most) if len(one) else np.zeros(0, np.int64)
-        left2 = total[two] - _own(doc[second], two, most) if len(two) else np.zeros(0, np.int64)
-        bigram = np.zeros(len(word), bool)
-        bigram[second[left2 > 0]] = True
-        value = np.zeros(len(word))
-        hit = second[left2 > 0]
-        value[hit] = np.log10(left2[left2 > 0]) - np.log10(left1[hit - 1])
-        seen = ~bigram & (left1 > 0)
-        value[seen] = np.log10(left1[seen])
-        unseen = ~bigram & (left1 == 0)
-        value[unseen] = np.log10(BACKOFF)
-        after = np.zeros(len(word), bool)
-        after[second] = True
-        value[after & ~bigram] += np.log10(BACKOFF)
+        left = [total[k] - _own(doc[at], k, most) if len(k) else np.zeros(0, np.int64) for (at, _), k in zip(levels, numbers)]
+        value, length = np.zeros(len(doc)), np.zeros(len(doc), np.int64)
+        for m in range(order - 1, 0, -1):
+            at, open_ = levels[m][0], length[levels[m][0]] == 0
+            hit, miss = open_ & (left[m] > 0), open_ & (left[m] <= 0)
+            context = left[m - 1][_places(levels[m - 1][0], at[hit] - 1)]
+            value[at[hit]] += np.log10(left[m][hit]) - np.log10(context)
+            value[at[miss]] += np.log10(BACKOFF)
+            length[at[hit]] = m + 1
+        one = (length == 0) & (left[0] > 0)
+        value[one] += np.log10(left[0][one])
+        length[one] = 1
+        value[length == 0] += np.log10(BACKOFF)
         add = lambda x: np.bincount(doc, weights=x, minlength=len(words))
-        whole = lambda x: pa.array(add(x).astype(np.int64))
-        return pa.table([docs["id"], pa.array(words.astype(np.int64)), whole(bigram), whole(seen), whole(unseen), pa.array(add(value))], names=["id", "n_words", "n_bigram", "n_unigram", "n_unseen", "part"])
+        by_length = [pa.array(add(length == m).astype(np.int64)) for m in range(order + 1)]
+        return pa.table([docs["id"], pa.array(words.astype(np.int64)), *by_length, pa.array(add(value))], names=["id", "n_words", *_kinds(order), "part"])
 
     return run
 
 
-def backoff_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_words, n_bigram, n_unigram, n_unseen (words by the case that scored them), score and mean_score."""
+def _kinds(order: int) -> list[str]:
+    """Names of the counts of words by the length of the n-gram that scored them, from none on."""
+    return ["n_unseen", "n_unigram", "n_bigram", *(f"n_{m}gram" for m in range(3, order + 1))][: order + 1]
+
+
+def backoff_scores(docs: DataFrame, *, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_words, counts of words by the case that scored them (n_unseen, n_unigram, n_bigram, n_3gram, ...), score and mean_score.
+
+    order: the longest n-gram, 1 or more."""
+    if order < 1:
+        raise ValueError("order must be 1 or more")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = winnow.rows_of(docs, id_col, text_col)
     batch = winnow.dealt(rows, winnow.count_blocks(rows, BLOCK_BYTES))
-    answers = batch.groupBy("block").applyInArrow(_count_rows(n), _ROW).groupBy("bucket").applyInArrow(_totals, _ROW)
-    kinds = "id long, n_words long, n_bigram long, n_unigram long, n_unseen long, part double"
-    got = checkpoints.cut(batch.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(n), kinds))
+    answers = batch.groupBy("block").applyInArrow(_count_rows(n, order), _ROW).groupBy("bucket").applyInArrow(_totals, _ROW)
+    counts = ["n_words", *_kinds(order)]
+    shape = f"id long, {', '.join(f'{c} long' for c in counts)}, part double"
+    got = checkpoints.cut(batch.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(n, order), shape))
     all_words = got.agg(F.sum("n_words")).first()[0] or 0
     # the words left can be none only where the document is all there is
     rest = F.greatest(F.lit(all_words) - F.col("n_words"), F.lit(1))
@@ -157,8 +181,8 @@ def backoff_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     ident = docs[id_col].cast("long")
     zero = F.lit(0).cast("long")
     empty = docs.where(ident.isNull() | docs[text_col].isNull() | (docs[text_col].cast("string") == ""))
-    empty = empty.select(ident.alias("id"), *(zero.alias(c) for c in ("n_words", "n_bigram", "n_unigram", "n_unseen")), F.lit(0.0).alias("score"))
-    out = got.select("id", "n_words", "n_bigram", "n_unigram", "n_unseen", score.alias("score")).unionByName(empty)
+    empty = empty.select(ident.alias("id"), *(zero.alias(c) for c in counts), F.lit(0.0).alias("score"))
+    out = got.select("id", *counts, score.alias("score")).unionByName(empty)
     return out.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words"))).withColumnRenamed("id", id_col)
 
 

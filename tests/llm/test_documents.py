@@ -1,5 +1,9 @@
 """Operators on documents against their plain versions, with odd rows, clashing names and empty tables."""
 
+import math
+import random
+from collections import Counter
+
 import brute
 import pytest
 from pyspark.sql import functions as F
@@ -290,6 +294,70 @@ def test_mixing_large_rate(spark):
     assert 140 <= n <= 260
 
 
+def plain_backoff(rows, order):
+    """Scores with each document's own counts taken off, n-gram by n-gram."""
+    texts = {i: (text or "").split() for i, text in rows}
+    count = lambda words: Counter(tuple(words[i : i + m]) for m in range(1, order + 1) for i in range(len(words) - m + 1))
+    own = {i: count(w) for i, w in texts.items()}
+    total, n = sum(own.values(), Counter()), sum(map(len, texts.values()))
+    out = {}
+    for i, words in texts.items():
+        left, rest, score, kinds = total - own[i], max(1, n - len(words)), 0.0, Counter()
+        for at in range(len(words)):
+            share, longest = 1.0, min(order, at + 1)
+            for m in range(longest, 0, -1):
+                gram = tuple(words[at + 1 - m : at + 1])
+                if left[gram]:
+                    share *= left[gram] / (left[gram[:-1]] if m > 1 else rest)
+                    break
+                share *= lm_score.BACKOFF
+            else:
+                m, share = 0, share / rest
+            kinds[m] += 1
+            score += math.log10(share)
+        out[i] = (len(words), [kinds[m] for m in range(order + 1)], score)
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores_of_any_order(spark, order):
+    words = random.Random(5)
+    rows = [(i, " ".join(words.choice("a b c d e".split()) for _ in range(words.choice([0, 1, 2, 3, 40])))) for i in range(60)] + [(60, None), (61, "zz"), (62, "a b zz zz a b c")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("part", F.lit("mine")).withColumn("n_words", F.lit("mine"))
+    got = {r.doc_id: r for r in lm_score.backoff_scores(table, order=order).collect()}
+    names = ["n_unseen", "n_unigram", "n_bigram", "n_3gram", "n_4gram"][: order + 1]
+    want = plain_backoff(rows, order)
+    assert set(got) == set(want)
+    for i, (n, kinds, score) in want.items():
+        assert (got[i].n_words, [got[i][c] for c in names]) == (n, kinds)
+        assert got[i].score == pytest.approx(score, abs=1e-8)
+        assert got[i].mean_score == (pytest.approx(score / n) if n else None)
+
+
+def test_scores_need_an_order(docs):
+    with pytest.raises(ValueError):
+        lm_score.backoff_scores(docs, order=0)
+
+
+def test_index_is_opened_again(spark, tmp_path):
+    passage = " ".join(f"w{i}" for i in range(30))
+    batches = [spark.createDataFrame([(b * 10 + i, f"{passage} own{b}{i} " if i == 0 else f"only{b}{i} text") for i in range(3)], "doc_id long, text string") for b in range(5)]
+    path, seen = str(tmp_path / "index"), None
+    for number, batch in enumerate(batches):
+        index = substring_index.FingerprintIndex(spark, path, history=seen, fanout=1, block_bytes=1000)
+        got = {r.id: r.n_removed for r in index.add(batch).collect()}
+        index.compact()
+        assert got[number * 10] == (30 if number else 0) and sum(got.values()) == got[number * 10]
+        seen = batch if seen is None else seen.unionByName(batch)
+    assert max(level for level, _ in index.runs) >= 2
+    assert len([f for f in (tmp_path / "index").iterdir() if f.name.startswith("manifest-")]) == 1
+    assert {f.name for f in (tmp_path / "index").iterdir() if f.name.startswith("run-")} == {folder.rsplit("/", 1)[1] for _, folder in index.runs}
+    with pytest.raises(ValueError):
+        substring_index.FingerprintIndex(spark, path)
+    index.drop()
+    assert not (tmp_path / "index").exists()
+
+
 def test_scores_fall_on_what_nobody_else_says(spark, docs, empty):
     got = {r.doc_id: r for r in lm_score.backoff_scores(docs).collect()}
     assert got[10].n_words == got[11].n_words == got[12].n_words == 0 and got[11].mean_score is None
