@@ -1,8 +1,9 @@
 r"""Substring dedup over a log-structured fingerprint index.
 
 The index holds sorted immutable runs: for each hash bucket the anchors (winnowed
-fingerprints, see :mod:`winnow`) of the 20-word windows of historical documents,
-with the documents that have them.  A new batch is processed in four steps.
+fingerprints, see :mod:`winnow`) of the distinct 20-word windows of historical
+documents, with the documents that had them first: a window that an earlier place
+has too is found through that place.  A new batch is processed in four steps.
 
 1. Its anchors, sorted by bucket, are merge-joined with the runs and with each
    other.  Out come the anchors that some other block of the batch, or history,
@@ -14,8 +15,9 @@ with the documents that have them.  A new batch is processed in four steps.
 3. Buckets of these fingerprints find the first holder of each window; a block
    removes the words of every window that history, an earlier document or an
    earlier place has.
-4. The batch's anchors become a new run; when more than ``FANOUT`` runs of a level
-   exist they are merged into one of the next level, and the old ones are deleted.
+4. The anchors of the batch's windows that nothing earlier has become a new run; when
+   more than ``FANOUT`` runs of a level exist they are merged into one of the next
+   level, which later batches read, and the old ones are deleted.
 
 A manifest beside the runs names those that count, and is replaced as a whole after
 each change, before anything is deleted: a job that stops leaves the index as it was
@@ -50,7 +52,12 @@ GRAM = 10
 BLOCK_BYTES = 4 << 20
 #: Runs of one level before they are compacted.
 FANOUT = 4
+#: Batches of the query: all but the last write a run, so that the last one reads compacted runs.
+BATCHES = FANOUT + 2
+#: Historical documents to read again that are broadcast; more are joined by a shuffle.
+BROADCAST_HOLDERS = 100_000
 _RUN = "bucket int, payload binary"
+_ROWS = "bucket int, block int, payload binary"
 #: The order number of all historical documents, and the block that stands for them.
 _PAST, _NOBODY = np.iinfo(np.int64).min, -1
 
@@ -79,86 +86,83 @@ def _unpack_holders(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchors_of_block(n: int):
-    """Rows (bucket, block, payload) of a block's distinct (anchor, document) pairs."""
+    """Rows (bucket, block, payload) of a block's distinct anchors."""
 
     def run(key, table):
         block = key[0].as_py()
-        table = winnow.sorted_block(table)
-        ids = np.asarray(table["id"].combine_chunks())
-        *_, doc, values = _words(table)
+        *_, doc, values = _words(winnow.sorted_block(table))
         anchor, inside = winnow.anchors(values, doc, WINDOW, GRAM)
-        at = winnow.occurrences(anchor, inside)
-        a, d = anchor[at], ids[doc[at]]
+        a = np.unique(anchor[winnow.occurrences(anchor, inside)])
+        return _rows([(b, block, tb.pack(winnow.low(a[p]))) for b, p in winnow.by_bucket(a, n)])
+
+    return run
+
+
+def _run_of_block(n: int):
+    """Rows (bucket, block, payload) of the distinct (anchor, document) pairs of a block's windows that nothing earlier has."""
+
+    def run(key, docs, later):
+        block = key[0].as_py()
+        docs = winnow.sorted_block(docs)
+        ids = np.asarray(docs["id"].combine_chunks())
+        *_, doc, values = _words(docs)
+        at, gone = _repeats(values, doc, later)
+        at = at[~gone]
+        anchor, _ = winnow.anchors(values, doc, WINDOW, GRAM)
+        a, d = _unrepeated(anchor[at], ids[doc[at]])  # neighbours mostly share an anchor
         order = np.lexsort((d, a))
-        a, d = a[order], d[order]
-        new = np.r_[True, (a[1:] != a[:-1]) | (d[1:] != d[:-1])] if len(a) else np.zeros(0, bool)
-        a, d = a[new], d[new]
-        rows = [(b, block, _pack_holders(winnow.low(a[p]), d[p])) for b, p in winnow.by_bucket(a, n)]
-        return _rows(rows)
+        a, d = _unrepeated(a[order], d[order])
+        return _rows([(b, block, _pack_holders(winnow.low(a[p]), d[p])) for b, p in winnow.by_bucket(a, n)])
 
     return run
 
 
+def _unrepeated(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a and b that differ from the pair before."""
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
+    return a[new], b[new]
+
+
 def _rows(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "block", "payload"])
 
 
 def _shared_anchors(key, new, old):
     """A bucket's answers: to each block of the batch its shared anchors (holder null), and the historical holders."""
-    got = [(r["block"], *_unpack_holders(r["payload"])) for r in new.to_pylist()]
+    bucket = key[0].as_py()
+    got = [(r["block"], tb.unpack(r["payload"])) for r in new.to_pylist()]
     if not got:
-        return _answers([], [])
-    past = [_unpack_holders(r["payload"]) for r in old.to_pylist()]
-    keys = np.concatenate([k for _, k, _ in got])
-    block = np.concatenate([np.full(len(k), b) for b, k, _ in got])
-    distinct = _distinct(keys, block)
-    many, count = np.unique(distinct[0], return_counts=True)
+        return _answers(bucket, [], [], [])
+    many, count = np.unique(np.concatenate([k for _, k in got]), return_counts=True)
     shared = many[count > 1]
-    holders = np.zeros(0, np.int64)
-    if past:
+    holders, found = [np.zeros(0, np.int64)], [np.zeros(0, U)]
+    if old.num_rows:
         # merge-join: the runs are sorted, so each is searched once with the sorted keys
         hit = np.zeros(len(many), bool)
-        found = []
-        for k, ids in past:
+        for payload in old["payload"]:
+            k, ids = _unpack_holders(payload.as_py())
             x, y = np.searchsorted(k, many, "left"), np.searchsorted(k, many, "right")
             hit |= y > x
             member = np.zeros(len(k) + 1, np.int64)
             np.add.at(member, x[y > x], 1)
             np.add.at(member, y[y > x], -1)
             mask = np.cumsum(member[:-1]) > 0
-            found.append((k[mask], ids[mask]))
+            found.append(k[mask])
+            holders.append(ids[mask])
         shared = np.union1d(shared, many[hit])
-        holders = found
-    rows = []
-    for b in np.unique(distinct[1]):
-        mine = np.intersect1d(distinct[0][distinct[1] == b], shared, assume_unique=True)
-        if len(mine):
-            rows.append((key[0].as_py(), int(b), tb.pack(mine)))
-    past_rows = []
-    if past:
-        k = np.concatenate([f[0] for f in holders])
-        ids = np.concatenate([f[1] for f in holders])
-        order = np.lexsort((k, ids))
-        past_rows = list(zip(ids[order].tolist(), k[order].tolist()))
-    return _answers(rows, past_rows, key[0].as_py())
-
-
-def _distinct(keys: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((block, keys))
-    keys, block = keys[order], block[order]
-    new = np.r_[True, (keys[1:] != keys[:-1]) | (block[1:] != block[:-1])]
-    return keys[new], block[new]
-
-
-def _answers(rows, past, bucket: int = 0) -> pa.Table:
+    mine = [(b, k[np.isin(k, shared)]) for b, k in got]
+    return _answers(bucket, [(b, k) for b, k in mine if len(k)], np.concatenate(holders), np.concatenate(found))
+
+
+def _answers(bucket: int, mine, holders, found) -> pa.Table:
     """(bucket, block, payload, holder): to blocks of the batch, and of each historical holder its shared anchors."""
-    grouped: dict[int, list[int]] = {}
-    for doc, k in past:
-        grouped.setdefault(doc, []).append(k)
-    b = [r[0] for r in rows] + [bucket] * len(grouped)
-    block = [r[1] for r in rows] + [None] * len(grouped)
-    payload = [r[2] for r in rows] + [tb.pack(np.unique(np.array(v, U))) for v in grouped.values()]
-    return pa.table([pa.array(b, pa.int32()), pa.array(block, pa.int32()), pa.array(payload, pa.binary()), pa.array([None] * len(rows) + list(grouped), pa.int64())], names=["bucket", "block", "payload", "holder"])
+    order = np.lexsort((found, holders))
+    found, holders = _unrepeated(np.asarray(found, U)[order], np.asarray(holders, np.int64)[order])
+    cuts = np.r_[np.flatnonzero(np.r_[True, holders[1:] != holders[:-1]]), len(holders)] if len(holders) else np.zeros(1, np.int64)
+    payload = [tb.pack(k) for _, k in mine] + [tb.pack(found[x:y]) for x, y in zip(cuts[:-1], cuts[1:])]
+    block = [b for b, _ in mine] + [None] * (len(cuts) - 1)
+    holder = [None] * len(mine) + holders[cuts[:-1]].tolist()
+    return pa.table([pa.array([bucket] * len(block), pa.int32()), pa.array(block, pa.int32()), pa.array(payload, pa.binary()), pa.array(holder, pa.int64())], names=["bucket", "block", "payload", "holder"])
 
 
 def _fingerprints(n: int):
@@ -223,22 +227,30 @@ def _later_windows(key, table):
     return _rows(out)
 
 
+def _repeats(values, doc, later) -> tuple[np.ndarray, np.ndarray]:
+    """(places of a block's windows, which of them start earlier too)."""
+    h = tb.window_hash(values, WINDOW)
+    at = np.flatnonzero(doc[: len(h)] == doc[WINDOW - 1 :]) if len(h) else np.zeros(0, np.int64)
+    gone = np.ones(len(at), bool)
+    if len(at):
+        order = np.argsort(h[at])
+        h = h[at][order]
+        edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        first = np.minimum.reduceat(order, edge)
+        if later.num_rows:
+            known = np.sort(np.concatenate([tb.unpack(x.as_py()) for x in later["payload"]]))
+            first = first[known[np.minimum(np.searchsorted(known, h[edge]), len(known) - 1)] != h[edge]]
+        gone[first] = False
+    return at, gone
+
+
 def _result(key, docs, later):
     """Per row of a block: n_words, n_removed and the kept words."""
     docs = winnow.sorted_block(docs)
     data, off, starts, ends, doc, values = _words(docs)
     n = docs.num_rows
-    removed = np.zeros(len(values), bool)
-    h = tb.window_hash(values, WINDOW)
-    at = np.flatnonzero(doc[: len(h)] == doc[WINDOW - 1 :]) if len(h) else np.zeros(0, np.int64)
-    if len(at):
-        h = h[at]
-        _, first = np.unique(h, return_index=True)
-        gone = np.ones(len(h), bool)
-        gone[first] = False
-        if later.num_rows:
-            gone |= np.isin(h, np.concatenate([tb.unpack(x.as_py()) for x in later["payload"]]))
-        removed = tb.cover(at[gone], WINDOW, len(values))
+    at, gone = _repeats(values, doc, later)
+    removed = tb.cover(at[gone], WINDOW, len(values))
     keep = np.flatnonzero(~removed)
     raw = data.tobytes()
     words = [raw[a:b] for a, b in zip(starts[keep].tolist(), ends[keep].tolist())]
@@ -260,6 +272,7 @@ class FingerprintIndex:
         self.path = path or f"{spark.sparkContext.getCheckpointDir()}/fingerprints-{uuid.uuid4()}"
         self.runs: list[tuple[int, str]] = []  # (level, folder), oldest first
         self.history: DataFrame | None = None
+        self.past_blocks = 0  # so many hold all of history
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.version, known = _read_manifest(spark, self.path)
         if known is not None:
@@ -267,6 +280,7 @@ class FingerprintIndex:
                 raise ValueError(f"{self.path} holds an index: history is needed")
             self.buckets, self.runs = known["buckets"], [(level, f"{self.path}/{name}") for level, name in known["runs"]]
             self.history = winnow.rows_of(history, id_col, text_col)
+            self.past_blocks = winnow.count_blocks(self.history, block_bytes)
 
     def _record(self) -> None:
         self.version = _write_manifest(self.spark, self.path, self.version + 1, {"buckets": self.buckets, "runs": [(level, folder.rsplit("/", 1)[1]) for level, folder in self.runs]})
@@ -284,31 +298,33 @@ class FingerprintIndex:
         n = self.buckets
         rows = winnow.rows_of(docs, id_col, text_col)
         n_blocks = winnow.count_blocks(rows, self.block_bytes)
-        batch = winnow.dealt(rows, n_blocks)
-        fresh = batch.groupBy("block").applyInArrow(_anchors_of_block(n), "bucket int, block int, payload binary")
-        if not last:
-            folder = f"{self.path}/run-{uuid.uuid4()}"
-            fresh.select("bucket", "block", "payload").write.parquet(folder)
-            fresh = self.spark.read.schema("bucket int, block int, payload binary").parquet(folder)
-        answers = fresh.groupBy("bucket").cogroup(self._stored().groupBy("bucket")).applyInArrow(_shared_anchors, "bucket int, block int, payload binary, holder long")
+        batch = checkpoints.cut(winnow.dealt(rows, n_blocks))  # packed once for all that follows
+        fresh = batch.groupBy("block").applyInArrow(_anchors_of_block(n), _ROWS)
+        answers = fresh.groupBy("bucket").cogroup(self._stored().groupBy("bucket")).applyInArrow(_shared_anchors, f"{_ROWS}, holder long")
+        compared = batch.withColumn("past", F.lit(False))
         if self.runs:
             answers = checkpoints.cut(answers)
             mine = answers.where("holder is null").select("bucket", "block", "payload")
             theirs = answers.where("holder is not null")
-            past = self.history.join(theirs.select(F.col("holder").alias("id")).distinct(), "id", "left_semi")
-            shared = mine.unionByName(theirs.select("bucket", winnow.block_of("holder", n_blocks).alias("block"), "payload"))
-            compared = batch.withColumn("past", F.lit(False)).unionByName(winnow.dealt(past, n_blocks).withColumn("past", F.lit(True)))
+            holders = theirs.select(F.col("holder").alias("id")).distinct()
+            past = self.history.join(F.broadcast(holders) if holders.count() <= BROADCAST_HOLDERS else holders, "id", "left_semi")
+            # history lies in blocks of its own, so that no block grows with the number of batches
+            beyond = lambda block: (block + n_blocks).alias("block")
+            shared = mine.unionByName(theirs.select("bucket", beyond(winnow.block_of("holder", self.past_blocks)), "payload"))
+            compared = compared.unionByName(winnow.dealt(past, self.past_blocks).select(beyond(F.col("block")), "payload", F.lit(True).alias("past")))
         else:
             shared = answers.select("bucket", "block", "payload")
-            compared = batch.withColumn("past", F.lit(False))
-        prints = compared.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_fingerprints(n), "bucket int, block int, payload binary")
-        later = prints.groupBy("bucket").applyInArrow(_later_windows, "bucket int, block int, payload binary")
-        out = batch.groupBy("block").cogroup(later.groupBy("block")).applyInArrow(_result, "id long, n_words long, n_removed long, kept string")
+        prints = compared.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_fingerprints(n), _ROWS)
+        later = prints.groupBy("bucket").applyInArrow(_later_windows, _ROWS)
         if not last:
+            later = checkpoints.cut(later)
+            folder = f"{self.path}/run-{uuid.uuid4()}"
+            batch.groupBy("block").cogroup(later.groupBy("block")).applyInArrow(_run_of_block(n), _ROWS).select("bucket", "payload").write.parquet(folder)
             self.runs.append((0, folder))
             self._record()
             self.history = rows if self.history is None else self.history.unionByName(rows)
-        return out
+            self.past_blocks += n_blocks
+        return batch.groupBy("block").cogroup(later.groupBy("block")).applyInArrow(_result, "id long, n_words long, n_removed long, kept string")
 
     def compact(self) -> None:
         """Merge the runs of any level that has more than ``fanout`` of them; deletes the merged ones."""
@@ -332,9 +348,8 @@ class FingerprintIndex:
 def _merge_run(key, table):
     keys, ids = map(np.concatenate, zip(*(_unpack_holders(p.as_py()) for p in table["payload"])))
     order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    new = np.r_[True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])]
-    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([_pack_holders(keys[new], ids[new])], pa.binary())], names=["bucket", "payload"])
+    keys, ids = _unrepeated(keys[order], ids[order])
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([_pack_holders(keys, ids)], pa.binary())], names=["bucket", "payload"])
 
 
 def _folder(spark: SparkSession, name: str):
@@ -374,7 +389,7 @@ def _write_manifest(spark: SparkSession, folder: str, version: int, content: dic
     return version
 
 
-def dedup_substrings(docs: DataFrame, *, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_removed, kept and its digest for all rows, taken in ``batches`` ranges of ids, one after another."""
     spark = docs.sparkSession
     index = FingerprintIndex(spark)
@@ -382,15 +397,17 @@ def dedup_substrings(docs: DataFrame, *, batches: int = 2, id_col: str = "doc_id
     bounds = [None, *sorted(set(cuts or [])), None]
     ident = docs[id_col].cast("long")
     out = None
-    for i, (after, upto) in enumerate(zip(bounds[:-1], bounds[1:])):
+    for after, upto in zip(bounds[:-1], bounds[1:]):
         part = docs
         if after is not None:
             part = part.where(ident > after)
         if upto is not None:
             part = part.where(ident <= upto)
-        got = index.add(part, id_col=id_col, text_col=text_col, last=i + 2 == len(bounds))
+        got = index.add(part, id_col=id_col, text_col=text_col, last=upto is None)
         got = checkpoints.cut(got.select("id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")))
-        index.compact()
+        if upto is not None:
+            index.compact()
+            index.history = winnow.rows_of(docs.where(ident <= upto), id_col, text_col)  # in one scan
         out = got if out is None else out.unionByName(got)
     index.drop()
     words = F.size(F.filter(F.split(F.coalesce(docs[text_col].cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
@@ -401,7 +418,7 @@ def dedup_substrings(docs: DataFrame, *, batches: int = 2, id_col: str = "doc_id
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated 20-word windows of all documents, in two batches."""
+    """Repeated 20-word windows of all documents, in as many batches as have the index compacted and read again."""
     return dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 

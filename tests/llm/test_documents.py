@@ -219,6 +219,31 @@ def test_index_over_many_batches_is_compacted(spark, docs, rows):
     index.drop()
 
 
+def test_repeated_windows_are_found_through_compacted_runs(spark, monkeypatch):
+    """By default the last batch reads runs that were merged, and misses repeats without them."""
+    passages = [" ".join(f"p{k}w{i}" for i in range(30)) for k in range(24)]
+    rows = [(i, f"own{i} {passages[i]} {passages[i // 2]} end{i}") for i in range(24)] + [(i, " ".join([f"late{i}", *passages])) for i in (24, 25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(substring_index, "BROADCAST_HOLDERS", 0)
+    add, compact, seen = substring_index.FingerprintIndex.add, substring_index.FingerprintIndex.compact, []
+
+    def watched(self, *args, **options):
+        seen.append([level for level, _ in self.runs])
+        return add(self, *args, **options)
+
+    def forgetful(self):
+        compact(self)
+        self.runs = [run for run in self.runs if run[0] == 0]
+
+    monkeypatch.setattr(substring_index.FingerprintIndex, "add", watched)
+    want = brute.repeated_windows(rows)
+    assert by_id(substring_index.dedup_substrings(df), "doc_id", "n_words", "n_removed", "kept_sha256") == want
+    assert seen[-1] == [1]
+    monkeypatch.setattr(substring_index.FingerprintIndex, "compact", forgetful)
+    lost = by_id(substring_index.dedup_substrings(df), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert {i for i in want if lost[i] != want[i]} & {24, 25}
+
+
 def test_repeated_bytes(with_null, rows, empty):
     got = by_id(suffix_dedup.dedup_bytes(with_null), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got.pop(None) == (len(NULL_ID[1]), 0, 0, brute.sha(NULL_ID[1]))
