@@ -37,7 +37,7 @@ def jaccard(a, b):
     return len(x & y) / len(x | y)
 
 
-PLAIN = {"char_dice_pairs": dice}
+PLAIN = {"char_dice_pairs": dice, "indel_ratio_pairs": similarity.indel}
 
 
 @pytest.mark.parametrize("name", PLAIN)
