@@ -52,3 +52,16 @@ def test_scores_of_several_chunks(spark, texts, monkeypatch, name):
     got = catalogue.QUERIES[name](spark, path).collect()
     assert {tuple(r)[:2]: r[2] for r in got} == {(i, j): pytest.approx(PLAIN[name](norm[i], norm[j]), abs=1e-6) for i, j in candidates(norm)}
     assert len(got) == len(candidates(norm)) > 100
+
+
+def test_cosine_of_several_chunks(spark, texts, monkeypatch):
+    """Pairs are never shuffled with their terms: the same values as by a join on terms."""
+    monkeypatch.setattr(lines, "CHUNK", 4)
+    rows, path = texts
+    df = spark.createDataFrame(list(rows.items()), "line_id long, norm string")
+    norm = {r.rep: r.norm for r in lines.distinct_texts(df).collect()}
+    pairs = spark.createDataFrame(candidates(norm), "rep_a long, rep_b long")
+    want = {(r.rep_a, r.rep_b): pytest.approx(r.tfidf_cosine, abs=1e-6) for r in lines.cosine(pairs, lines.tfidf(df)).collect()}
+    query = catalogue.QUERIES["tfidf_cosine_pairs"](spark, path)
+    assert {(r.rep_a, r.rep_b): r.tfidf_cosine for r in query.collect()} == want
+    assert "Join" not in query._jdf.queryExecution().optimizedPlan().toString()
