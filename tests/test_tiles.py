@@ -65,3 +65,15 @@ def test_cosine_of_several_chunks(spark, texts, monkeypatch):
     query = catalogue.QUERIES["tfidf_cosine_pairs"](spark, path)
     assert {(r.rep_a, r.rep_b): r.tfidf_cosine for r in query.collect()} == want
     assert "Join" not in query._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_similarity_of_several_chunks(spark, texts, monkeypatch):
+    """Every pair of lines once, those of one text too."""
+    monkeypatch.setattr(lines, "CHUNK", 4)
+    rows, path = texts
+    got = {(r.line_id_a, r.line_id_b): r for r in catalogue.QUERIES["text_similarity_avg"](spark, path).collect()}
+    assert set(got) == set(candidates(rows))
+    for (i, j), r in got.items():
+        a, b = (rows[k] for k in sorted((i, j), key=lambda k: min(x for x in rows if rows[x] == rows[k])))
+        assert [r.lev_ratio, r.jaro, r.dice, r.jaccard_tokens] == pytest.approx([similarity.indel(a, b), similarity.winkler(a, b), dice(a, b), jaccard(a, b)], abs=1e-6)
+        assert a != b or r.tfidf_cosine == 1
