@@ -37,7 +37,7 @@ def jaccard(a, b):
     return len(x & y) / len(x | y)
 
 
-PLAIN = {"char_dice_pairs": dice, "indel_ratio_pairs": similarity.indel, "jaro_winkler_pairs": similarity.winkler}
+PLAIN = {"char_dice_pairs": dice, "indel_ratio_pairs": similarity.indel, "jaro_winkler_pairs": similarity.winkler, "token_jaccard_pairs": jaccard}
 
 
 @pytest.mark.parametrize("name", PLAIN)
