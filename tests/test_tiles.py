@@ -77,3 +77,10 @@ def test_similarity_of_several_chunks(spark, texts, monkeypatch):
         a, b = (rows[k] for k in sorted((i, j), key=lambda k: min(x for x in rows if rows[x] == rows[k])))
         assert [r.lev_ratio, r.jaro, r.dice, r.jaccard_tokens] == pytest.approx([similarity.indel(a, b), similarity.winkler(a, b), dice(a, b), jaccard(a, b)], abs=1e-6)
         assert a != b or r.tfidf_cosine == 1
+
+
+def test_blocked_pairs_of_several_chunks(spark, texts, monkeypatch):
+    monkeypatch.setattr(lines, "CHUNK", 4)
+    rows, path = texts
+    got = catalogue.QUERIES["blocked_pairs"](spark, path).collect()
+    assert sorted(map(tuple, got)) == candidates(rows)
