@@ -84,3 +84,14 @@ def test_blocked_pairs_of_several_chunks(spark, texts, monkeypatch):
     rows, path = texts
     got = catalogue.QUERIES["blocked_pairs"](spark, path).collect()
     assert sorted(map(tuple, got)) == candidates(rows)
+
+
+def test_terms_move_twice(spark):
+    """Weights are normalised in one window over a text's terms: one join with the document frequencies, one with the total."""
+    rows = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, "b c")], "line_id long, norm string")
+    found = lines.tfidf(rows)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    sums = Counter()
+    for r in found.collect():
+        sums[r.rep] += r.weight**2
+    assert sums == {1: pytest.approx(1), 2: pytest.approx(1)}
