@@ -144,6 +144,13 @@ def grey_levels(blobs: pd.Series) -> pd.Series:
     return pd.Series(_each(blobs, lambda image: pixels.grey(image).reshape(-1).astype(np.int32)), dtype=object)
 
 
+@pandas_udf(of(width=INT, height=INT, total=LONG))
+def grey_totals(blobs: pd.Series) -> pd.DataFrame:
+    """Width, height and the sum of the grey levels: three numbers for an image, however large."""
+    run = lambda image: (image.shape[1], image.shape[0], int(pixels.grey(image).sum(dtype=np.int64)))
+    return pd.DataFrame(_each(blobs, run, (None,) * 3), columns=["width", "height", "total"]).astype("Int64")
+
+
 def _regions(blobs: pd.Series, marks: Callable[[np.ndarray], np.ndarray]) -> pd.DataFrame:
     names = ("x", "y", "width", "height", "area")
     run = lambda image: (image.shape[0] * image.shape[1], [dict(zip(names, map(int, c))) for c in pixels.components(marks(image))])

@@ -267,3 +267,20 @@ def test_saved_model(spark, tmp_path):
     asked = spark.createDataFrame([(1, "rook rook"), (2, "invoice"), (3, " "), (4, None)], "id int, text string")
     got = doctypes.predict_types(doctypes.load(str(tmp_path / "m")), asked, "id").collect()
     assert {(r.id, r.doc_type) for r in got} == {(1, "rook"), (2, "invoice")}
+
+
+def test_totals_come_as_numbers(spark):
+    """The sum of the grey levels leaves Python, not the levels."""
+    image = picture(30, 20, 3)
+    row = spark.createDataFrame([(pixels.encode_png(image),), (b"x",)], "blob binary").select(images.grey_totals("blob").alias("t")).collect()
+    assert tuple(row[0].t) == (image.shape[1], image.shape[0], int(pixels.grey(image).sum(dtype="int64")))
+    assert row[1].t.width is None and row[1].t.total is None
+
+
+def test_crops_send_no_arrays(spark, tmp_path):
+    from docquarry.plans import catalogue
+
+    spark.createDataFrame([(9, "a", [0.1] * 64)], "vec_id long, label string, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    query = catalogue.QUERIES["image_crops"](spark, str(tmp_path))
+    assert "grey_levels" not in query._jdf.queryExecution().analyzed().toString()
+    assert [tuple(r) for r in query.collect()] == [(9, 55, 54, 100 * 20 + 255 * (55 * 54 - 20))]
